@@ -132,7 +132,7 @@ def _best_fit(items: dict[int, int], capacity: int, bins: dict[Pattern, int]) ->
 
 def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], float]]:
     """Column generation for min sum(x) with A x >= demand: [(how many of each size, x)]."""
-    m = len(sizes)
+    m, each = len(sizes), np.array(sizes)
     columns = [[capacity // s if j == i else 0 for j in range(m)] for i, s in enumerate(sizes)]
     basis = np.array(columns, float).T
     for _ in range(40 * m):
@@ -141,9 +141,9 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
         best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         for c in range(1, capacity + 1):  # unbounded knapsack, vectorised over the sizes
             best[c], last[c] = best[c - 1], -1
-            fit = [(best[c - s] + price[i], i) for i, s in enumerate(sizes) if s <= c]
-            if fit and (top := max(fit))[0] > best[c] + 1e-12:
-                best[c], last[c] = top
+            gain = np.where(each <= c, best[c - each] + price, -1.0)
+            if gain[top := int(gain.argmax())] > best[c] + 1e-12:
+                best[c], last[c] = gain[top], top
         if best[capacity] <= 1 + 1e-7:
             break
         column, c = np.zeros(m), capacity
@@ -179,12 +179,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
         for config, x in _configurations(sizes, demand, capacity):
             for _ in range(64):  # each pass substitutes actual lengths for as many copies as go alike
                 slots = [i for i, k in enumerate(config) for _ in range(k)]
-                pick, used = [], defaultdict(int)
+                pick: list[int] = []
+                used: dict[int, int] = {}
                 for i in slots:
-                    n = next((n for n in members[i] if left[n] > used[n]), None)
+                    n = next((n for n in members[i] if left[n] > used.get(n, 0)), None)
                     if n is not None:
                         pick.append(n)
-                        used[n] += 1
+                        used[n] = used.get(n, 0) + 1
                 if x < 1 or len(pick) < len(slots) or not pick:
                     break
                 times = int(min(int(x), *(left[n] // k for n, k in used.items())))
