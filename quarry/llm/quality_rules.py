@@ -46,18 +46,24 @@ def base_metrics(text: Column) -> dict[str, Column]:
     }
 
 
-def repeated_words(tokens: Column, trigrams: Column) -> Column:
-    """How many words lie in a three-word window that the text has twice or more.
+def repeated_starts(trigrams: Column) -> Column:
+    """Where the three-word windows start that the text has twice or more, ascending.
 
-    trigrams: sorted array of (h, i), h the window's hash and i its place. Neighbours with equal h are repeats; each
-    start covers three words, less what the next start covers as well.
+    trigrams: sorted array of (h, i), h the window's hash and i its place; neighbours with equal h are repeats.
     """
     again = F.filter(
         trigrams,
         lambda s, j: F.coalesce(F.get(trigrams, j - 1)["h"] == s["h"], F.lit(False))
         | F.coalesce(F.get(trigrams, j + 1)["h"] == s["h"], F.lit(False)),
     )
-    starts = F.array_sort(F.transform(again, lambda s: s["i"]))
+    return F.sort_array(F.transform(again, lambda s: s["i"]))
+
+
+def covered(starts: Column) -> Column:
+    """How many words those windows cover: three each, less what the next start covers as well.
+
+    starts must be a plain column: an expression would be computed again for every element.
+    """
     steps = F.transform(starts, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(starts, j + 1), p + 3) - p))
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b)
 
@@ -97,11 +103,12 @@ def assess(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_rep
     kept_lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: ~line_fails(x))
     step = base.select("row", "t", words(F.col("t")).alias("w"), F.array_join(kept_lines, "\n").alias("clean_text"))
     step = step.select("row", "t", "w", "clean_text", windows(F.col("w")).alias("g"))
+    step = step.select("row", "t", "w", "clean_text", repeated_starts(F.col("g")).alias("starts"))
     step = step.select(
         "row",
         "clean_text",
         _size(F.col("w")).alias("n_words"),
-        repeated_words(F.col("w"), F.col("g")).alias("n_repeat_words"),
+        covered(F.col("starts")).alias("n_repeat_words"),
         *[c.cast("long").alias(k) for k, c in base_metrics(F.col("t")).items()],
         _without(F.col("clean_text"), BLANK).alias("left_chars"),
     )
