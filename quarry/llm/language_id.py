@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.model_text import texts
 
-BITS = 15
+BITS = 14
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb",
     "romance": "fr es it pt ro ca gl oc",
@@ -33,7 +33,7 @@ FAMILIES = {
     "han": "zh yue ja",
 }
 #: Training documents of each language, at most.
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -55,17 +55,18 @@ def hashed(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 40, decay: float = 1e-5) -> np.ndarray:
-    """Averaged subgradient descent on the hinge loss; the last weight is the constant."""
+def _svm(x: np.ndarray, use: np.ndarray, y: np.ndarray, rounds: int = 40, decay: float = 1e-5) -> np.ndarray:
+    """Averaged subgradient descent on the hinge loss over the rows `use` of x; the last weight is the constant."""
     rng, n = np.random.default_rng(7), len(y)
-    w, total, steps = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
-    weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum())))
+    w, total, steps = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))).astype(np.float32)
     for r in range(rounds):
         for part in np.array_split(rng.permutation(n), max(1, n // 32)):
-            miss = part[(x[part] @ w) * y[part] < 1]
-            w *= 1 - decay
+            miss = part[(x[use[part]] @ w) * y[part] < 1]
+            w *= np.float32(1 - decay)
             if len(miss):
-                w += (2.0 / (1 + r)) * (weight[miss] * y[miss]) @ x[miss] / len(part)
+                w += np.float32(2 / ((1 + r) * len(part))) * ((weight[miss] * y[miss]) @ x[use[miss]])
             if r >= rounds // 2:
                 total, steps = total + w, steps + 1
     return total / max(1, steps)
@@ -94,9 +95,9 @@ class Model:
             of = fam if kind == "family" else lang
             use = np.flatnonzero((of == a) | (of == b))
             y = np.where(of[use] == a, 1.0, -1.0)
-            w = _svm(x[use], y)
+            w = _svm(x, use, y)
             self.jobs.append((kind, a, b))
-            columns.append(w / (np.median(np.abs(x[use] @ w)) or 1))
+            columns.append(w / (np.median(np.abs((x @ w)[use])) or 1))
         self.rows = np.array(columns, dtype=np.float32).T.copy() if columns else np.zeros(((1 << BITS) + 1, 0), np.float32)
 
     def predict(self, text: str) -> tuple[str, float]:
