@@ -42,7 +42,7 @@ LENGTH = 400
 #: Bytes of an anchor gram.
 K = 64
 #: Bytes of runs that a shard takes before it is sorted, and of queue blocks that stay in memory.
-SHARD = 8 << 20
+SHARD = 4 << 20
 MEMORY = 256 << 20
 
 
@@ -159,7 +159,7 @@ class Queue:
 
 Sorted = list[tuple[np.ndarray, np.ndarray]]
 KEYS = 258  # the end (0), the separator (1), and the bytes plus 2
-_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.int32))
 
 
 def _induce(text: np.ndarray, run: np.ndarray, seeds: Sorted, wanted: np.ndarray, depth: int, down: bool, queue: Queue) -> Sorted:
@@ -170,26 +170,26 @@ def _induce(text: np.ndarray, run: np.ndarray, seeds: Sorted, wanted: np.ndarray
     """
     out: Sorted = []
     filled = np.zeros(KEYS, bool)
-    gap = np.zeros(KEYS, np.int64)
+    gap = np.zeros(KEYS, np.int32)
 
     def scan(place: np.ndarray, lcp: np.ndarray) -> None:
-        ok = place > 0
-        before = np.where(ok, place - 1, 0)
-        ok &= wanted[before]
-        target = np.where(ok, text[before], KEYS)
+        before = np.maximum(place - 1, 0)
+        target = text[before]
+        ok = np.flatnonzero(wanted[before] & (place > 0))
+        ok = ok[np.argsort(target[ok], kind="stable")]  # hits by target, each in scan order
+        edge = np.append(0, np.flatnonzero(np.diff(target[ok])) + 1) if len(ok) else np.zeros(0, np.int64)
         rest_gap = np.minimum(gap, lcp.min())
-        for c in np.unique(target):
-            if c == KEYS:
-                continue
-            hit = np.flatnonzero(target == c)
+        for lo, hi in zip(edge, np.append(edge[1:], len(ok))):
+            hit = ok[lo:hi]
+            c = int(target[hit[0]])
             share = np.minimum.reduceat(lcp[: hit[-1] + 1], np.append(0, hit[:-1] + 1))
             share[0] = min(share[0], gap[c])
-            share = np.minimum(share + 1, depth)
+            share = np.minimum(share + np.int32(1), np.int32(depth))
             if not filled[c]:
                 share[0], filled[c] = 0, True
             rest = lcp[hit[-1] + 1 :]
             rest_gap[c] = rest.min() if len(rest) else depth
-            queue.push(int(c), before[hit], share)
+            queue.push(c, before[hit], share)
         gap[:] = rest_gap
 
     for c in range(KEYS - 1, -1, -1) if down else range(KEYS):
@@ -224,35 +224,39 @@ def _s_types(text: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(decided[::-1])[::-1]] > 0
 
 
-def _names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Ranks of the pairs (a, b), equal pairs alike."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    out = np.empty(len(a), np.int64)
-    out[order] = np.concatenate(([0], np.cumsum((x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
-    return out
+def _refined(rank: np.ndarray, key: np.ndarray, tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks (the number of smaller items) refined by key among the tied items; the items that are tied still."""
+    order = tied[np.lexsort((key, rank[tied]))]
+    by = np.empty(len(rank), np.int64)
+    by[tied] = key
+    r, k, i = rank[order], by[order], np.arange(len(order))
+    group = np.append(True, r[1:] != r[:-1])
+    new = group | np.append(True, k[1:] != k[:-1])
+    first = np.maximum.accumulate(np.where(new, i, 0))
+    rank[order] = r + first - np.maximum.accumulate(np.where(group, i, 0))
+    alone = new & np.append(new[1:], True)
+    return rank, order[~alone]
 
 
 def _sort_lms(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
     """The order of the leftmost S suffixes, as far as depth: name their substrings, then double over the names."""
     size = np.append(np.diff(lms), 0) + 1
     padded = np.concatenate((text.astype(np.int64), np.zeros(8, np.int64)))
-    name = np.zeros(len(lms), np.int64)
+    rank, tied = np.zeros(len(lms), np.int64), np.arange(len(lms))
     for at in range(0, depth + 1, 6):
-        if at and not (size > at).any():
+        part = tied
+        if not len(part) or at and not (size[part] > at).any():
             break
-        key = np.zeros(len(lms), np.int64)
+        key = np.zeros(len(part), np.int64)
         for k in range(at, at + 6):  # 9 bits a value; past its end a substring counts as greatest
-            key = (key << 9) | np.where(k < size, padded[np.minimum(lms + k, len(text))], 511)
-        name = _names(name, key)
-        if name.max() == len(lms) - 1:
-            return np.argsort(name, kind="stable")
+            key = (key << 9) | np.where(k < size[part], padded[np.minimum(lms[part] + k, len(text))], 511)
+        rank, tied = _refined(rank, key, part)
     width = 1
-    while name.max() < len(lms) - 1 and width <= depth:
-        following = np.zeros(len(lms), np.int64)
-        following[: max(0, len(lms) - width)] = name[width:] + 1
-        name, width = _names(name, following), width * 2
-    return np.argsort(name, kind="stable")
+    while len(tied) and width <= depth:
+        at = tied + width
+        rank, tied = _refined(rank, np.where(at < len(lms), rank[np.minimum(at, len(lms) - 1)] + 1, 0), tied)
+        width *= 2
+    return np.argsort(rank, kind="stable")
 
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -269,7 +273,7 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
         left = left[same]
         if not len(left):
             break
-    return np.minimum(out, depth)
+    return np.minimum(out, depth).astype(np.int32)
 
 
 def suffix_sort(text: np.ndarray, depth: int, scratch: str | None = None, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -280,11 +284,11 @@ def suffix_sort(text: np.ndarray, depth: int, scratch: str | None = None, memory
     s_type, run = _s_types(text), _runs_of_one(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     lms = lms[_sort_lms(text, lms, depth)] if len(lms) > 1 else lms
-    share = np.append(0, _common(text, lms[:-1], lms[1:], depth)) if len(lms) else np.zeros(0, np.int64)
+    share = np.append(np.int32(0), _common(text, lms[:-1], lms[1:], depth)) if len(lms) else np.zeros(0, np.int32)
     at = np.searchsorted(text[lms], np.arange(KEYS + 1))
     seeds = [(lms[i:j], share[i:j]) for i, j in zip(at[:-1], at[1:])]
     large = _induce(text, run, seeds, ~s_type, depth, False, Queue(scratch, memory))
-    back = [(p[::-1], np.append(0, q[:0:-1])) if len(p) else _NONE for p, q in large]
+    back = [(p[::-1], np.append(np.int32(0), q[:0:-1])) if len(p) else _NONE for p, q in large]
     small = _induce(text, run, back, s_type, depth, True, Queue(scratch, memory))[::-1]
     order, lcp = [np.array([len(text) - 1])], [np.array([0])]
     for (p, q), (r, t) in zip(large, small):
