@@ -1,19 +1,196 @@
-"""The queries over the reference operators and the SQL they are held against."""
+"""The queries over the search operators and the SQL they are held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions.html import blocks_udf, links_udf, noindex_udf, text_udf
+from quarry.functions.text import bigrams_column, tokens_column
+from quarry.functions.urls import domain_key_column, fold_dots_column, normalize_udf
+from quarry.operators import evaluate, search
+from quarry.sources import warehouse
+from quarry.streaming import state
+
+Query = Callable[[SparkSession, str], DataFrame]
+NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+_PAGES_SQL = """SELECT page_id, url, html,
+  CASE WHEN page_id % 31 = 0 THEN 410 WHEN page_id % 20 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 429 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END AS status,
+  TIMESTAMP '2024-02-01 00:00:00' - (page_id % 45) * INTERVAL 1 DAY AS fetched_at FROM pages"""
+_FRESH = "(status <> 429 AND fetched_at >= TIMESTAMP '2024-02-01 00:00:00' - CASE WHEN status BETWEEN 200 AND 299 THEN INTERVAL 30 DAY ELSE INTERVAL 15 DAY END)"
+_KEY = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), ':80$', '')"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    code = "CASE WHEN page_id % 31 = 0 THEN 410 WHEN page_id % 20 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 429 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END"
+    return p.select("page_id", "url", "html", F.expr(code).alias("status"), (NOW - F.make_dt_interval((F.col("page_id") % 45).cast("int"))).alias("fetched_at"))
+
+
+def _table(name: str) -> Query:
+    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _queue(spark: SparkSession, d: str) -> DataFrame:
+    """Links found on pages, as (url, seen)."""
+    p = _pages(spark, d)
+    found = p.select(F.explode(links_udf("url", "html")).alias("url"), F.col("fetched_at").alias("seen"))
+    return found.groupBy("url").agg(F.min("seen").alias("seen"))
+
+
+#: What isn't ASCII in a link is percent-encoded.
+_ENCODED = "array_to_string(list_transform(string_split({}, ''), lambda c: CASE WHEN regexp_matches(c, '^[\\x00-\\x7F]*$') THEN c ELSE url_encode(c) END), '')"
+_LINKS = f"SELECT page, fetched_at, {_ENCODED.format('link')} AS link FROM (" + r"""SELECT url AS page, fetched_at, regexp_extract(url, '^(https?://[^/]*)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS link FROM p)"""
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc"), F.lit("").alias("title"), F.col("text").alias("body"))
+
+
+def _search(text: str, limit: int = 10, offset: int = 0) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = _docs(spark, d)
+        found = search.postings(docs, columns=("title", "body"), stemmed=False)
+        return search.search(found, search.statistics(found, docs.count()), text, limit, offset)
+
+    return run
+
+
+def _search_sql(terms: list[str], limit: int = 10, offset: int = 0) -> str:
+    hits = " UNION ALL ".join(f"SELECT doc, {i} AS t, count(*) AS f FROM k WHERE starts_with(term, '{t}') GROUP BY doc" for i, t in enumerate(terms))
+    return f"""
+WITH k AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) AS term FROM documents),
+l AS (SELECT doc, count(*) AS len FROM k GROUP BY doc),
+g AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM l) / (SELECT count(*) FROM documents) AS mean),
+h AS ({hits}), df AS (SELECT t, count(*) AS df FROM h GROUP BY t),
+s AS (SELECT doc, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM h JOIN df USING (t) JOIN l USING (doc), g GROUP BY doc HAVING count(DISTINCT t) = {len(terms)})
+SELECT (row_number() OVER (ORDER BY score DESC, doc))::INT AS rank, doc, score FROM s ORDER BY score DESC, doc LIMIT {limit} OFFSET {offset}"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    p = _pages(spark, sf_dir).where("html IS NOT NULL").select(F.col("page_id").alias("doc"), text_udf("html").alias("x"))
+    docs = p.select("doc", "x.title", "x.body")
+    found = search.postings(search.with_grams(docs))
+    return search.search(found, search.statistics(found, docs.count()), "the")
+
+
+def _literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+URLS = [("http://A.test/p", "http://a.test/p"), ("http://a.test:80/a/../p#s", "http://a.test/p"), ("http://a.test", "http://a.test/"), ("http://h/%ea", "http://h/%EA"), ("http://h/가", "http://h/%EA%B0%80")]
+NOINDEX = [("<meta name=robots content=noindex>", True), ("<meta name=robots content=index>", False), ("<p>noindex</p>", False), ('<meta name="&#114;obots" content="none">', True)]
+HIDDEN = [("<div hidden>x</div><p>see</p>", "see"), ('<p style="display: none">x</p><p>one</p>', "one"), ("<template>x</template><p>two</p>", "two"), ('<p style="font-size:0.9em">three</p>', "three")]
+HANGUL = [("일출봉", "일출 출봉"), ("올레 길", "올레 레길"), ("Python tuple 3.9", ""), ("가나 abc 다라", "가나 다라"), ("밥", "")]
+PATHS = ["/a/../p", "/../p", "/a/b/.", "/a/..", "/a//b", "/a//../b", "/..//a", "/"]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    quote = lambda v: str(v).upper() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) t({names})"
+
+
+def queries() -> dict[str, Query]:
+    def recheck(s: SparkSession, d: str) -> DataFrame:
+        p = _pages(s, d).withColumn("noindex", F.lit(False)).drop("page_id")
+        return warehouse.recheck(p.select("url"), p, NOW - F.make_dt_interval(F.lit(20)))
+
+    def upserted(s: SparkSession, d: str) -> DataFrame:
+        p = _pages(s, d)
+        again = p.where("page_id % 3 = 0").withColumn("fetched_at", F.col("fetched_at") + F.make_dt_interval(F.lit(1))).withColumn("status", F.lit(200))
+        return warehouse.upsert(p.drop("page_id"), again.drop("page_id")).select("url", "status", "fetched_at")
+
+    def servers(s: SparkSession, d: str) -> DataFrame:
+        p = _pages(s, d)
+        own = p.where("page_id < 20").select(domain_key_column(F.col("url")).alias("server")).distinct()
+        return warehouse.unfinished(p, _queue(s, d), NOW, 50, own)
 
+    def per_user(s: SparkSession, d: str) -> DataFrame:
+        e = _table("events")(s, d)
+        return e.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_type")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "fresh_pages": lambda s, d: _pages(s, d).where(warehouse.is_fresh(NOW)).select("page_id", "url", "status"),
+        "stale_pages": lambda s, d: _pages(s, d).where(~warehouse.is_fresh(NOW)).select("page_id", "url", "status"),
+        "unfinished_urls": lambda s, d: warehouse.unfinished(_pages(s, d), _queue(s, d), NOW, 100),
+        "unfinished_same_site": servers,
+        "gone_tombstones": lambda s, d: _pages(s, d).where(F.col("status").isin(*warehouse.GONE)).select("page_id", "url"),
+        "new_pages_anti": lambda s, d: _pages(s, d).where("html IS NOT NULL").join(_pages(s, d).where("page_id % 2 = 0").select("url"), "url", "left_anti").select("page_id", "url"),
+        "recheck_actions": recheck,
+        "upsert_latest": upserted,
+        "queue_insert_ignore": lambda s, d: warehouse.remember(_queue(s, d), _pages(s, d).select("url", NOW.alias("seen"))),
+        "host_count": lambda s, d: warehouse.host_count(_table("pages")(s, d)),
+        "oldest_pages": lambda s, d: warehouse.oldest(_pages(s, d), 40).select("url"),
+        "url_domain_key": lambda s, d: _table("pages")(s, d).select("page_id", domain_key_column(F.col("url")).alias("server")),
+        "url_normalize": lambda s, d: _literals(s, [(u,) for u, _ in URLS], "url string").select("url", normalize_udf("url").alias("normal")),
+        "url_fold_dots": lambda s, d: _literals(s, [(p,) for p in PATHS], "path string").select("path", fold_dots_column(F.col("path")).alias("folded")),
+        "page_links": lambda s, d: _pages(s, d).select("page_id", F.explode(links_udf("url", "html")).alias("link")),
+        "page_text": lambda s, d: _pages(s, d).select("page_id", text_udf("html").alias("x")).select("page_id", "x.title", F.length("x.body").alias("n_chars")),
+        "page_blocks": lambda s, d: _pages(s, d).select("page_id", F.explode(blocks_udf("html")).alias("b")).select("page_id", "b.position", "b.tag", "b.text"),
+        "noindex_flags": lambda s, d: _literals(s, [(h,) for h, _ in NOINDEX], "html string").select("html", noindex_udf("html").alias("noindex")),
+        "hidden_blocks": lambda s, d: _literals(s, [(h,) for h, _ in HIDDEN], "html string").select("html", F.explode(blocks_udf("html")).alias("b")).select("html", F.col("b.text").alias("text")),
+        "hangul_bigrams": lambda s, d: _literals(s, [(t,) for t, _ in HANGUL], "text string").select("text", bigrams_column(F.col("text")).alias("grams")),
+        "tokens_top_terms": lambda s, d: _table("documents")(s, d).select(F.explode(tokens_column(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(50),
+        "postings_df": lambda s, d: search.postings(_docs(s, d), columns=("body",), stemmed=False).groupBy("term").agg(F.count_distinct("doc").alias("df"), F.count("*").alias("cf")),
+        "bm25_single": _search("thention"),
+        "bm25_and": _search("the and ther"),
+        "bm25_paged": _search("ing", 10, 20),
+        "phrase_match": lambda s, d: search.phrase(search.postings(_docs(s, d), columns=("body",), stemmed=False), ["of", "the"], False),
+        "bm25_porter": lambda s, d: flagship(s, d),
+        "best_passage": lambda s, d: search.best_passage(_docs(s, d).select("doc", F.posexplode(F.split("body", "\n")).alias("position", "text")), ["the", "ing", "the"]).select("doc", "position", "text", "score"),
+        "passages_html": lambda s, d: search.best_passage(_pages(s, d).select(F.col("page_id").alias("doc"), F.explode(blocks_udf("html")).alias("b")).select("doc", "b.*"), ["the"]).select("doc", "position", "tag", "text"),
+        "nearest_rank_pct": lambda s, d: evaluate.nearest_rank(_table("events")(s, d), "event_type", "value", [0.5, 0.95]),
+        "domain_gaps": lambda s, d: evaluate.gaps(per_user(s, d), "user_id", "us", "event_id"),
+        "dup_requests": lambda s, d: evaluate.repeated(_table("pages")(s, d).select(F.regexp_extract("url", r"^(https?://[^/]*)", 1).alias("url")), "url"),
+        "rate_limit_sliding": lambda s, d: state.rate_limit(per_user(s, d).select("event_id", "user_id", "t"), "user_id", ["event_id"], 3, 3600.0).select("event_id", "allowed"),
+        "backoff_penalty": lambda s, d: state.penalties(per_user(s, d).select("event_id", "user_id", "us", (F.col("event_type") == "error").alias("refused"), F.col("event_type").isin("view", "click").alias("ok")), "user_id", ["us", "event_id"]).select("event_id", "delay", "dropped"),
+        "sample_fingerprints": lambda s, d: _table("pages")(s, d).select("url", F.substring(F.sha2("html", 256), 1, 16).alias("sha")).orderBy("sha", "url").limit(30),
+        "envelope_json": lambda s, d: evaluate.envelope(_search("thention")(s, d), "thention"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    p = f"WITH p AS ({_PAGES_SQL})"
+    q = f"{p}, l AS ({_LINKS}), q AS (SELECT link AS url, min(fetched_at) AS seen FROM l GROUP BY link)"
+    due = f"""SELECT url, min(since) AS since FROM (SELECT url, fetched_at AS since FROM p WHERE NOT {_FRESH}
+      UNION ALL SELECT url, seen AS since FROM q WHERE url NOT IN (SELECT url FROM p)) GROUP BY url"""
+    gone = [(path, {"/a/../p": "/p", "/../p": "/p", "/a/b/.": "/a/b/", "/a/..": "/", "/a//b": "/a//b", "/a//../b": "/a/b", "/..//a": "//a", "/": "/"}[path]) for path in PATHS]
+    return {
+        "fresh_pages": f"{p} SELECT page_id, url, status FROM p WHERE {_FRESH}",
+        "stale_pages": f"{p} SELECT page_id, url, status FROM p WHERE NOT {_FRESH}",
+        "unfinished_urls": f"{q} SELECT url FROM ({due}) ORDER BY since, url LIMIT 100",
+        "unfinished_same_site": f"{q} SELECT url FROM ({due}) WHERE {_KEY} IN (SELECT {_KEY} FROM p WHERE page_id < 20) ORDER BY since, url LIMIT 50",
+        "gone_tombstones": f"{p} SELECT page_id, url FROM p WHERE status IN (404, 410)",
+        "new_pages_anti": f"{p} SELECT page_id, url FROM p WHERE html IS NOT NULL AND url NOT IN (SELECT url FROM p WHERE page_id % 2 = 0)",
+        "recheck_actions": f"{p} SELECT a.url, CASE WHEN b.status IN (404, 410) THEN 'delete' WHEN b.html IS NULL THEN 'keep' ELSE 'replace' END AS action FROM p a JOIN p b USING (url) WHERE b.fetched_at >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 20 DAY",
+        "upsert_latest": f"""{p}, u AS (SELECT url, status, fetched_at, 0 AS k FROM p UNION ALL SELECT url, 200, fetched_at + INTERVAL 1 DAY, 1 FROM p WHERE page_id % 3 = 0)
+          SELECT url, status, fetched_at FROM u QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, k DESC, status) = 1""",
+        "queue_insert_ignore": f"{q} SELECT url, min(seen) AS seen FROM (SELECT * FROM q UNION ALL SELECT url, TIMESTAMP '2024-02-01 00:00:00' FROM p) GROUP BY url",
+        "host_count": "SELECT count(DISTINCT substr(url, 1, instr(substr(url, 9), '/') + 7)) AS n_hosts FROM pages",
+        "oldest_pages": f"{p} SELECT url FROM p WHERE html IS NOT NULL ORDER BY fetched_at, url LIMIT 40",
+        "url_domain_key": f"SELECT page_id, {_KEY} AS server FROM pages",
+        "url_normalize": _values(URLS, "url, normal"),
+        "url_fold_dots": _values(gone, "path, folded"),
+        "page_links": f"{p}, l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS link FROM p) SELECT DISTINCT page_id, {_ENCODED.format('link')} AS link FROM l",
+        "noindex_flags": _values(NOINDEX, "html, noindex"),
+        "hidden_blocks": _values(HIDDEN, "html, text"),
+        "hangul_bigrams": _values(HANGUL, "text, grams"),
+        "tokens_top_terms": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+')) AS term FROM documents) GROUP BY term ORDER BY n DESC, term LIMIT 50",
+        "postings_df": r"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+')) AS term FROM documents) GROUP BY term",
+        "bm25_single": _search_sql(["thention"]),
+        "bm25_and": _search_sql(["the", "and", "ther"]),
+        "bm25_paged": _search_sql(["ing"], 10, 20),
+        "phrase_match": r"""WITH k AS (SELECT doc_id AS doc, t, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+') AS t FROM documents))
+          SELECT doc, count(*) AS f FROM k WHERE t[i] = 'of' AND t[i + 1] = 'the' GROUP BY doc""",
+        "best_passage": """WITH b AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents),
+          s AS (SELECT doc, position::INT AS position, text, ((2 * ((length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3)) + (length(lower(text)) - length(replace(lower(text), 'ing', ''))) // 3)::BIGINT AS score FROM b)
+          SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, length(text) DESC, position) = 1""",
+        "nearest_rank_pct": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+          SELECT event_type, max(value) FILTER (r = least(floor(n * 0.5), n - 1)) AS p50, max(value) FILTER (r = least(floor(n * 0.95), n - 1)) AS p95 FROM r GROUP BY event_type""",
+        "domain_gaps": "WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT user_id, min(gap) AS min_gap, count(*) AS n FROM g GROUP BY user_id",
+        "dup_requests": "SELECT url, n FROM (SELECT regexp_extract(url, '^(https?://[^/]*)', 1) AS url, count(*) AS n FROM pages GROUP BY 1) WHERE n > 1",
+        "sample_fingerprints": "SELECT url, substr(sha256(html), 1, 16) AS sha FROM pages ORDER BY sha, url LIMIT 30",
+    }

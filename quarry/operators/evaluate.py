@@ -1,0 +1,42 @@
+"""Evaluation: percentiles, gaps, repeats, recall, and the result envelope."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def nearest_rank(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """The value at place min(floor(n * q), n - 1) of each group, counted from 0. Values are counted first, so a large
+    group shuffles and sorts its distinct values only."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(group)
+    upto = counted.withColumn("hi", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
+    found = [F.max(F.when((at(q) < F.col("hi")) & (at(q) >= F.col("hi") - F.col("c")), F.col(value))).alias(f"p{round(q * 100)}") for q in shares]
+    return upto.groupBy(group).agg(*found)
+
+
+def gaps(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """The least distance between one row and the next per key."""
+    w = Window.partitionBy(key).orderBy(at, tie)
+    return df.withColumn("gap", F.col(at) - F.lag(at).over(w)).groupBy(key).agg(F.min("gap").alias("min_gap"), F.count("*").alias("n"))
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def recall(ranked: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """lang, n, hits, first (rank 1) and missing. ranked: q, url, rank; queries: q, lang, answer."""
+    found = queries.join(ranked, (queries["q"] == ranked["q"]) & (queries["answer"] == ranked["url"]), "left").select("lang", "rank")
+    return found.groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if(F.col("rank") <= k).alias("hits"), F.count_if(F.col("rank") == 1).alias("first"), F.count_if(F.col("rank").isNull()).alias("missing")
+    )
+
+
+def envelope(hits: DataFrame, query: str, page: int = 1, version: int = 1) -> DataFrame:
+    """One row: the JSON answer for one page of hits (eleven at most; the eleventh says that there are more)."""
+    rows = hits.agg(F.sort_array(F.collect_list(F.struct(*hits.columns))).alias("r"))  # a page at most
+    body = F.struct(F.lit(version).alias("version"), F.lit(query).alias("query"), F.lit(page).alias("page"), ((F.size("r") > 10) & F.lit(page < 100)).alias("has_next"), F.slice("r", 1, 10).alias("results"))
+    return rows.select(F.to_json(body).alias("json"))
