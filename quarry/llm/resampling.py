@@ -1,6 +1,6 @@
 """Importance resampling: a target and a raw model of hashed n-grams, and a Gumbel top-k draw.
 
-Target: texts labelled quality 1 and not toxic. Raw: all texts. Both are bags of hashed words and word pairs with added
+Target: texts labelled quality 1 and not toxic, at most MAX_TARGET of them. Raw: all texts. Both are bags of hashed words and word pairs with added
 counts; a text's log weight is the sum over its n-grams of log target - log raw. Each row's key is its log weight plus
 Gumbel noise made from a hash of doc_id and text, and the k largest keys are a draw without replacement in proportion
 to the weights. k is the share times the number of rows; by default the share is that of target rows among labelled ones.
@@ -25,6 +25,8 @@ from quarry.llm.model_text import texts
 BITS = 18
 #: Added to each bucket's raw count, and as much in proportion to its target count.
 PRIOR = 20.0
+#: Labelled target rows that the target model is counted on, at most (smallest hashes of doc_id); the raw model takes all rows.
+MAX_TARGET = 200_000
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -53,8 +55,11 @@ _POWERS = np.cumprod(np.full(512, 0x5851F42D4C957F2D, dtype=np.uint64) | np.uint
 def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log target - log raw by bucket, from all texts. What comes back is two numbers per bucket and partition, summed
     by Spark: at most 2 ** BITS rows reach the driver."""
-    good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(((F.max("toxic") == 0) & (F.min("quality") == 1)).alias("target"))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    good = good.where("toxic = 0 AND quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET)
+    # At most MAX_TARGET ids: a proven bound for the broadcast, and no text is shuffled.
+    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")
+    marked = marked.select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
