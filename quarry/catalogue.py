@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.html import blocks_udf, links_udf, noindex_udf, text_udf
@@ -15,7 +15,10 @@ from quarry.sources import warehouse
 from quarry.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+def now() -> Column:
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
+
+
 _PAGES_SQL = """SELECT page_id, url, html,
   CASE WHEN page_id % 31 = 0 THEN 410 WHEN page_id % 20 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 429 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END AS status,
   TIMESTAMP '2024-02-01 00:00:00' - (page_id % 45) * INTERVAL 1 DAY AS fetched_at FROM pages"""
@@ -26,7 +29,7 @@ _KEY = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), ':8
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     code = "CASE WHEN page_id % 31 = 0 THEN 410 WHEN page_id % 20 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 429 WHEN page_id % 17 = 0 THEN 503 ELSE 200 END"
-    return p.select("page_id", "url", "html", F.expr(code).alias("status"), (NOW - F.make_dt_interval((F.col("page_id") % 45).cast("int"))).alias("fetched_at"))
+    return p.select("page_id", "url", "html", F.expr(code).alias("status"), (now() - F.make_dt_interval((F.col("page_id") % 45).cast("int"))).alias("fetched_at"))
 
 
 def _table(name: str) -> Query:
@@ -96,7 +99,7 @@ def _values(rows: list[tuple], names: str) -> str:
 def queries() -> dict[str, Query]:
     def recheck(s: SparkSession, d: str) -> DataFrame:
         p = _pages(s, d).withColumn("noindex", F.lit(False)).drop("page_id")
-        return warehouse.recheck(p.select("url"), p, NOW - F.make_dt_interval(F.lit(20)))
+        return warehouse.recheck(p.select("url"), p, now() - F.make_dt_interval(F.lit(20)))
 
     def upserted(s: SparkSession, d: str) -> DataFrame:
         p = _pages(s, d)
@@ -106,22 +109,22 @@ def queries() -> dict[str, Query]:
     def servers(s: SparkSession, d: str) -> DataFrame:
         p = _pages(s, d)
         own = p.where("page_id < 20").select(domain_key_column(F.col("url")).alias("server")).distinct()
-        return warehouse.unfinished(p, _queue(s, d), NOW, 50, own)
+        return warehouse.unfinished(p, _queue(s, d), now(), 50, own)
 
     def per_user(s: SparkSession, d: str) -> DataFrame:
         e = _table("events")(s, d)
         return e.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "event_type")
 
     return {
-        "fresh_pages": lambda s, d: _pages(s, d).where(warehouse.is_fresh(NOW)).select("page_id", "url", "status"),
-        "stale_pages": lambda s, d: _pages(s, d).where(~warehouse.is_fresh(NOW)).select("page_id", "url", "status"),
-        "unfinished_urls": lambda s, d: warehouse.unfinished(_pages(s, d), _queue(s, d), NOW, 100),
+        "fresh_pages": lambda s, d: _pages(s, d).where(warehouse.is_fresh(now())).select("page_id", "url", "status"),
+        "stale_pages": lambda s, d: _pages(s, d).where(~warehouse.is_fresh(now())).select("page_id", "url", "status"),
+        "unfinished_urls": lambda s, d: warehouse.unfinished(_pages(s, d), _queue(s, d), now(), 100),
         "unfinished_same_site": servers,
         "gone_tombstones": lambda s, d: _pages(s, d).where(F.col("status").isin(*warehouse.GONE)).select("page_id", "url"),
         "new_pages_anti": lambda s, d: _pages(s, d).where("html IS NOT NULL").join(_pages(s, d).where("page_id % 2 = 0").select("url"), "url", "left_anti").select("page_id", "url"),
         "recheck_actions": recheck,
         "upsert_latest": upserted,
-        "queue_insert_ignore": lambda s, d: warehouse.remember(_queue(s, d), _pages(s, d).select("url", NOW.alias("seen"))),
+        "queue_insert_ignore": lambda s, d: warehouse.remember(_queue(s, d), _pages(s, d).select("url", now().alias("seen"))),
         "host_count": lambda s, d: warehouse.host_count(_table("pages")(s, d)),
         "oldest_pages": lambda s, d: warehouse.oldest(_pages(s, d), 40).select("url"),
         "url_domain_key": lambda s, d: _table("pages")(s, d).select("page_id", domain_key_column(F.col("url")).alias("server")),
