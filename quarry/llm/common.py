@@ -56,5 +56,15 @@ def local_path(path: str) -> str:
     return os.fspath(path).removeprefix("file://")
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """df, behind a generator that filters aren't pushed through.
+
+    A filter that the optimiser moves below a projection takes the projection's expressions along; where one stands
+    inside a lambda, it is then evaluated again for every element.
+    """
+    one = df.select(F.explode_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("one"))
+    return one.select(*[F.col("one").getField(c).alias(c) for c in df.columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, text_hash
+from quarry.llm.common import computed, text_hash
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -134,7 +134,7 @@ def digests(docs: DataFrame, min_words: int = 8) -> DataFrame:
 def cleaned(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """The documents without their repeated chunks; one that had text and has none left is gone as well."""
     new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed_lines") > 0, F.length("clean_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    out = apply(docs, min_words).where((F.col("n_removed_lines") == 0) | F.col("clean_text").rlike(_WORD))
+    out = computed(apply(docs, min_words)).where((F.col("n_removed_lines") == 0) | F.col("clean_text").rlike(_WORD))
     return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import words
+from quarry.llm.common import computed, words
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -129,7 +129,7 @@ def verdicts(docs: DataFrame, **limits: int) -> DataFrame:
 
 def cleaned(docs: DataFrame, **limits: int) -> DataFrame:
     """The documents that are kept, without the lines that failed; n_chars follows the text where there is one."""
-    out = assess(docs, **limits).where("kept")
+    out = computed(assess(docs, **limits).select("row", "clean_text", "kept")).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
