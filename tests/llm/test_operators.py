@@ -1,7 +1,6 @@
 """The operators against brute force and SQL, and on awkward rows."""
 
 import hashlib
-import re
 import zlib
 from collections import Counter
 
@@ -72,8 +71,8 @@ def test_suffix_sort():
 
 
 def test_near_duplicates(spark, odd):
-    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(odd, 4).collect()}
-    assert got[4, 12] == (4, True) and got[1, 0] == (1, True) and got[None, 12] == (None, True)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd, 4).collect()}
+    assert got[4] == (13, 4, True) and got[1] == (0, 1, True) and got[None] == (13, None, True)
     assert minhash.deduplicated(odd).where("doc_id = 4").count() == 1 and minhash.deduplicated(odd).columns == odd.columns
 
 
@@ -166,4 +165,3 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and 0 < out.count() <= n * 1.1, name
         docs = out
     assert pipeline.run(spark, D).count() > 0
-    assert re.fullmatch(r"\w+", "ok")
