@@ -10,16 +10,28 @@ partition: a chunk that a third of all documents share costs one row per partiti
 the 128-bit hash, and only where all chunks under it proved byte-equal: should two byte sequences ever share a hash,
 both stay, so nothing is removed unless its bytes were compared.
 
+That rule, which ORACLE states, sees a short passage only where its foreign neighbours happen to cut it off. passages()
+looks at every place instead: from each line with a word on, and back from it, the shortest stretch of two or more
+such lines and min_words words. Each passage of that size is covered by stretches inside it, whatever surrounds it.
+Stretches are counted and compared in the same way; all places but the first go, except for lines that lie in the
+first place of another repeated stretch, so whatever goes is still whole somewhere. cleaned() works by passages().
+
 Null and empty texts have one empty line, which is never a chunk. A null doc_id counts as the smallest. Rows that
 repeat both doc_id and text are one document and get one result. Other columns are untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import computed, text_hash
+from quarry.llm.model_text import texts
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -98,17 +110,74 @@ def repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return gone.select(*cols).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n_lines")).alias("gone"))
 
 
-def apply(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """Per input row: row (all its columns), clean_text, n_lines, n_removed_chunks and n_removed_lines."""
-    gone = repeats(docs, min_words)
+def stretches(lines: list[bytes], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest stretches of two or more lines with a word and of min_words words, from and to each line."""
+    words = [len(x.split()) for x in lines]  # bytes are split at exactly what _WORD leaves out
+    solid = [i for i, n in enumerate(words) if n]
+    upto = [0, *accumulate(words[i] for i in solid)]
+    found: dict[tuple[int, int], None] = {}
+    for k in range(len(solid)):
+        m = k + 1
+        while m < len(solid) and upto[m + 1] - upto[k] < min_words:
+            m += 1
+        if m < len(solid):
+            found[solid[k], solid[m]] = None
+        m = k - 1
+        while m >= 0 and upto[k + 1] - upto[m] < min_words:
+            m -= 1
+        if m >= 0:
+            found[solid[m], solid[k]] = None
+    return list(found)
+
+
+def _places(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
+    """One row for each stretch: doc_id, th, start, n_lines, h, and with whole its bytes (chunk)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())[: 5 + whole]
+        for batch, own in texts(batches, 2 << 20):
+            cols: list[list] = [[] for _ in kinds]
+            for doc, th, text in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), own):
+                lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+                for a, b in stretches(lines, min_words):
+                    chunk = b"\n".join(lines[a : b + 1])
+                    for c, v in zip(cols, (doc, th, a, b + 1 - a, hashlib.md5(chunk).digest(), chunk)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "th", "start", "n_lines", "h", "chunk"][: len(kinds)])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash(F.col("text")).cast("long").alias("th"))
+    return narrow.mapInArrow(run, "doc_id long, th long, start int, n_lines int, h binary" + ", chunk binary" * whole)
+
+
+def passages(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    """doc_id, th, gone: the (start, n_lines) of a document's stretches that came before, and kept: those that are the first."""
+    mine = F.struct("doc_id", "th", "start")
+    by_bytes = _places(docs, min_words, True).groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(mine).alias("first"))
+    by_hash = by_bytes.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    known = by_hash.where((F.col("texts") == 1) & (F.col("n") > 1)).select("h", "first")
+    each = _places(docs, min_words, False).join(known, "h").select("doc_id", "th", mine.eqNullSafe(F.col("first")).alias("is_first"), F.struct("start", "n_lines").alias("p"))
+    each = each.groupBy("doc_id", "th").agg(  # bounded by the document's lines
+        F.collect_set(F.when(~F.col("is_first"), F.col("p"))).alias("gone"), F.collect_set(F.when(F.col("is_first"), F.col("p"))).alias("kept")
+    )
+    return each.where(F.size("gone") > 0)
+
+
+def _lines_of(pieces: Column) -> Column:
+    return F.flatten(F.transform(pieces, lambda g: F.sequence(g["start"], g["start"] + g["n_lines"] - 1)))
+
+
+def apply(docs: DataFrame, min_words: int = 8, everywhere: bool = False) -> DataFrame:
+    """Per input row: row (all its columns), clean_text, n_lines, n_removed_chunks and n_removed_lines. everywhere: by
+    passages() instead of repeats()."""
+    gone = passages(docs, min_words) if everywhere else repeats(docs, min_words)
     left = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"),
         text_hash(F.col("text")).alias("th"),
     )
-    joined = left.join(gone, left["doc_id"].eqNullSafe(gone["doc_id"]) & (left["th"] == gone["th"]), "left").select("row", "gone")
+    joined = left.join(gone, left["doc_id"].eqNullSafe(gone["doc_id"]) & (left["th"] == gone["th"]), "left").select("row", "gone", *["kept"] * everywhere)
     lines = F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1)
-    joined = joined.select("row", "gone", lines.alias("lines"))
-    cut = F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["start"] + g["n_lines"] - 1)))
+    joined = joined.select("row", "gone", *["kept"] * everywhere, lines.alias("lines"))
+    cut = F.array_except(_lines_of(F.col("gone")), _lines_of(F.col("kept"))) if everywhere else _lines_of(F.col("gone"))
     joined = joined.select("row", "gone", "lines", cut.alias("cut"))
     left_over = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
     clean = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(
@@ -132,9 +201,9 @@ def digests(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """The documents without their repeated chunks; one that had text and has none left is gone as well."""
+    """The documents without their repeated passages; one that had text and has none left is gone as well."""
     new = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed_lines") > 0, F.length("clean_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    out = computed(apply(docs, min_words)).where((F.col("n_removed_lines") == 0) | F.col("clean_text").rlike(_WORD))
+    out = computed(apply(docs, min_words, everywhere=True)).where((F.col("n_removed_lines") == 0) | F.col("clean_text").rlike(_WORD))
     return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 

@@ -99,6 +99,32 @@ def test_lines_after_a_shift(spark):
     assert got[1].n_removed_lines == 0 and got[2].n_removed_lines >= 20
 
 
+def test_short_passages_in_differing_contexts(spark):
+    line = lambda *k: " ".join(f"{x}" for x in (*k, "alpha beta gamma delta epsilon zeta eta"))
+    planted = {n: [line("planted", n, i) for i in range(n)] for n in range(2, 7)}
+    planted[7] = ["few words", *[line("planted", 7, i) for i in range(2)], "", "short end"]
+    rows = []
+    for k in range(30):
+        text = []
+        for n, lines in planted.items():
+            text += [*[line("own", k, n, i) for i in range(4)], *lines]
+        rows.append((k, "\n".join([*text, line("own", k, "end")])))
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "\n".join(got[0]) == rows[0][1]
+    for k in range(1, 30):
+        assert got[k] == [x for x in rows[k][1].split("\n") if "own" in x], k
+
+
+def test_what_goes_stays_whole_somewhere(spark):
+    rng, line = np.random.default_rng(4), "one two three four five six %d"
+    texts = ["\n".join([line % x, "", "  "][min(2, rng.integers(0, 12))] if rng.integers(0, 5) == 0 else line % x for x in rng.integers(0, 6, 9)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text.encode() for r in line_dedup.cleaned(docs).collect()}
+    cut = lambda t: [b"\n".join(t.split(b"\n")[a : b + 1]) for a, b in line_dedup.stretches(t.split(b"\n"), 8)]
+    before, after = Counter(x for t in texts for x in cut(t.encode())), {x for t in left.values() for x in cut(t)}
+    assert {x for x, n in before.items() if n > 1} <= after and sum(map(len, left.values())) < 0.9 * sum(map(len, texts))
+
+
 def test_mixing(spark, odd, labels):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     got = mixing.weights(docs, spark.read.parquet(f"{D}/labels.parquet")).toPandas()
