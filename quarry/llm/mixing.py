@@ -5,9 +5,11 @@
 2. Each document gets posteriors p over the domains and a token count n (words between white space; the public
    tokenizers have no SQL form).
 3. Rates x >= 0, one per document, minimise the squared distance between the expected domain totals sum(x n p) and
-   the targets (weights times the corpus total): projected gradient from x = 1, a step of one over the largest
-   eigenvalue. A document's rate depends only on its p and on the gradients so far, three numbers per step, so a step
-   is one aggregate over the written (n, p) table, and nothing per document is kept between steps.
+   the targets (weights times the corpus total), with NEAR times the squared distance from x = 1 to choose among
+   equals: gradient steps from x = 1, scaled by the inverse Gram matrix of the documents above 0, summed and then
+   projected. A document's rate depends only on its p and the sum of the steps, three numbers, so a step is one
+   aggregate over the written (n, p) table, and nothing per document is kept between steps. It ends when all shares
+   are within the tolerance or the optimality condition holds, else it raises; a target out of reach gives a warning.
 
 Empty and null texts have no tokens: posteriors are the priors, they get a rate like any other and add nothing to the
 totals. Without labelled rows all posteriors are equal. Without tokens all rates are 1. Rows that repeat are mixed
@@ -17,8 +19,10 @@ each by itself. A domain whose documents hold no tokens can't reach its target;
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,9 @@ TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 BUCKETS = 16384
 #: Documents the classifier is fitted on, at most.
 MAX_TRAIN = 20_000
+#: Weight of the distance from x = 1, and the slope below which a fit counts as optimal.
+NEAR = 1e-9
+OPTIMAL = 1e-6
 
 
 def features(text: Column) -> Column:
@@ -85,43 +92,57 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], te
     return step.select("row", "n_tokens", F.array(*[x / sum(e[1:], e[0]) for x in e]).alias("p"))
 
 
-def _rate(p: Column, gradients: list[list[float]]) -> Column:
-    """x after the given gradient steps, from x = 1."""
-    if not gradients:
-        return F.lit(1.0)
-    flat = _table([v for g in gradients for v in g])
-    d = len(DOMAINS)
-    dot = lambda k: sum((F.get(p, F.lit(j)) * F.get(flat, k * d + j) for j in range(1, d)), F.get(p, F.lit(0)) * F.get(flat, k * d))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(gradients) - 1)), F.lit(1.0), lambda x, k: F.greatest(F.lit(0.0), x - dot(k)))
+def _rate(p: Column, step: list[float]) -> Column:
+    """x after the given sum of gradient steps, from x = 1."""
+    dot = sum((F.get(p, F.lit(j)) * F.lit(v) for j, v in list(enumerate(step))[1:]), F.get(p, F.lit(0)) * F.lit(step[0]))
+    return F.greatest(F.lit(0.0), 1.0 - dot)
 
 
 def rates(mixed: DataFrame, targets: dict[str, float] | None = None, steps: int = 60, tolerance: float = 2e-3) -> tuple[Column, list[float]]:
-    """The rate as a column over p, and the shares reached. mixed: n_tokens and p, written."""
-    aim = [(targets or TARGETS)[k] for k in DOMAINS]
+    """The rate as a column over p, and the shares reached. mixed: n_tokens and p, written.
+
+    Warns when the nearest fit misses a target by more than tolerance; raises when no fit is found in `steps` passes.
+    """
+    aim = np.array([(targets or TARGETS)[k] for k in DOMAINS])
     d = range(len(DOMAINS))
     p = [F.get("p", F.lit(j)) for j in d]
-    first = mixed.agg(
-        F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in d for j in d]
-    ).first()
-    total = float(first["n"] or 0)
+    n = F.col("n_tokens")
+    total = float(mixed.agg(F.sum("n_tokens")).first()[0] or 0)
     if not total:
         return F.lit(1.0), [0.0 for _ in d]
-    gram = [[first[f"g{i}_{j}"] / total for j in d] for i in d]
-    v, top = [1.0 for _ in d], 1.0
-    for _ in range(50):  # power iteration for the largest eigenvalue
-        u = [sum(gram[i][j] * v[j] for j in d) for i in d]
-        top = math.sqrt(sum(x * x for x in u)) or 1.0
-        v = [x / top for x in u]
-    gradients: list[list[float]] = []
-    for _ in range(steps):
-        x = _rate(F.col("p"), gradients)
-        row = mixed.select("n_tokens", "p", x.alias("x")).agg(*[F.sum(F.col("n_tokens") * p[j] * F.col("x")).alias(f"t{j}") for j in d]).first()
-        share = [row[f"t{j}"] / total for j in d]
-        error = [share[j] - aim[j] for j in d]
-        if max(abs(e) for e in error) <= tolerance:
+
+    def measured(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares, the Gram matrix of the rows with a rate above 0, and the function that the steps bring down."""
+        x = _rate(F.col("p"), step.tolist())
+        live = mixed.select("n_tokens", "p", x.alias("x")).where("x > 0")
+        sums = [F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in d for j in d if i <= j]
+        row = live.agg(*[F.sum(n * p[j] * F.col("x")).alias(f"t{j}") for j in d], F.sum(n * F.col("x") * F.col("x")).alias("xx"), *sums).first()
+        share = np.array([row[f"t{j}"] or 0.0 for j in d]) / total
+        gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in d] for i in d]) / total
+        return share, gram, (row["xx"] or 0.0) / total / 2 + float(aim @ step) + NEAR / 2 * float(step @ step)
+
+    step = np.zeros(len(DOMAINS))
+    share, gram, value = measured(step)
+    passes = 1
+    while True:
+        slope = share - aim - NEAR * step
+        reached = np.abs(share - aim).max() <= tolerance
+        if reached or np.abs(slope).max() <= OPTIMAL:
             break
-        gradients.append([e / top for e in error])
-    return _rate(F.col("p"), gradients), share
+        move = np.linalg.solve(gram + NEAR * np.eye(len(DOMAINS)), slope)
+        size, gain = 1.0, float(slope @ move)
+        while True:
+            if passes >= steps:
+                raise RuntimeError(f"mixing: no fit in {steps} passes; shares {share.tolist()} for targets {aim.tolist()}")
+            found = measured(step + size * move)
+            passes += 1
+            if found[2] <= value - 1e-4 * size * gain + 1e-12 * abs(value):
+                break
+            size /= 4
+        step, (share, gram, value) = step + size * move, found
+    if not reached:
+        warnings.warn(f"mixing: the nearest fit has shares {share.round(6).tolist()} for targets {aim.tolist()}", stacklevel=2)
+    return _rate(F.col("p"), step.tolist()), share.tolist()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_train: int = MAX_TRAIN, written_as: str = "mixing") -> DataFrame:

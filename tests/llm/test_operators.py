@@ -134,6 +134,31 @@ def test_mixing(spark, odd, labels):
     assert (got.rate >= 0).all() and mixing.weights(odd, labels).count() == len(ROWS) and mixing.weights(odd.limit(0), labels).count() == 0
 
 
+def test_mixing_reaches_rare_domains(spark):
+    rng = np.random.default_rng(6)
+    for low, toxic in ((0.0025, 0.0025), (0.004, 0.0005), (0.6, 0.3)):
+        kind = rng.choice(3, 4000, p=[1 - low - toxic, low, toxic])
+        kind[:3] = 0, 1, 2
+        sure = rng.uniform(0.9, 0.9999, 4000)
+        rows = [(int(n), [float(s) if j == k else (1 - float(s)) / 2 for j in range(3)]) for n, k, s in zip(rng.integers(1, 900, 4000), kind, sure)]
+        docs = spark.createDataFrame(rows, "n_tokens long, p array<double>").cache()
+        rate, share = mixing.rates(docs)
+        got = docs.withColumn("x", rate).toPandas()
+        p = np.array(got.p.tolist())
+        assert np.abs((got.n_tokens * got.x).to_numpy() @ p / got.n_tokens.sum() - [0.9, 0.08, 0.02]).max() <= 2e-3
+        assert (got.x >= 0).all() and max(abs(a - b) for a, b in zip(share, mixing.TARGETS.values())) <= 2e-3
+        docs.unpersist()
+
+
+def test_mixing_reports_what_it_misses(spark):
+    docs = spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (30, [0.9, 0.1, 0.0])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="nearest fit"):
+        _, share = mixing.rates(docs)
+    assert abs(share[0] - 0.9) < 2e-3 and abs(share[1] - 0.08) < 2e-3 and share[2] == 0
+    with pytest.raises(RuntimeError, match="no fit"):
+        mixing.rates(docs, steps=1)
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs, 100).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
