@@ -226,7 +226,7 @@ def is_noindex(html: str) -> bool:
 
 
 def clip(html: str, tags: int = 3000, characters: int = 2_000_000) -> str:
-    """The page up to the tag beyond the budget."""
+    """The page up to the tag beyond the budget, for a passage call that must answer at once; no query uses it."""
     html = html[:characters]
     for k, m in enumerate(re.finditer(r"<[a-zA-Z/!]", html)):
         if k == tags:
@@ -241,7 +241,7 @@ def text_udf(html: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.ArrayType(BLOCK))
 def blocks_udf(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: [{"position": i, "tag": t, "text": x} for i, (t, x) in enumerate(extract_blocks(clip(h)))] if h is not None else None)
+    return html.map(lambda h: [{"position": i, "tag": t, "text": x} for i, (t, x) in enumerate(extract_blocks(h))] if h is not None else None)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
