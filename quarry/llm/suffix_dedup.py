@@ -16,7 +16,9 @@ right and S suffixes from right to left through a monotone priority queue keyed
 of blocks per byte, whose items are (position, common prefix with the item before). Common prefixes come along: two
 neighbours in a queue share one byte plus the least common prefix between the suffixes that induced them. Blocks beyond
 the memory limit go to files in the shared folder until their turn. A shard ends at the first anchor beyond SHARD
-bytes; its text and its S ranks stay in memory, about 40 bytes for each of its bytes.
+bytes; its text and its S ranks stay in memory, about 40 bytes for each of its bytes. An anchor whose own runs exceed
+SHARD bytes isn't sorted: each of its starts goes as the 128-bit digest of its string to the partition of that digest,
+where equal neighbours are found in a stream, so no anchor needs more memory than two shards.
 
 Null text is empty. Texts shorter than `length` keep everything. Rows that repeat doc_id and text are two places, so
 each repeats the other. Null doc_ids are an id like any other here. No byte is exempt: line ends and zero bytes match.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -314,21 +317,37 @@ def repeated_starts(parts: list[bytes], length: int, scratch: str | None = None)
 # -- the operator ---------------------------------------------------------------------------------------------------
 
 
-def _bytes_of_runs(wanted: DataFrame) -> DataFrame:
-    """wanted: text and runs (anchor, start, n, open). One row per run with its bytes."""
+def _bytes_of_runs(wanted: DataFrame, length: int) -> DataFrame:
+    """wanted: text and runs (anchor, start, stop, open, hot). One row per run with its bytes, or, where hot, one per
+    start, with the halves of its string's digest as anchor and rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own in texts(batches):
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
+
+            def taken() -> pa.RecordBatch:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64())
+                done = [pa.array(c, t) for c, t in zip(cols, kinds)]
+                for c in cols:
+                    c.clear()
+                return pa.RecordBatch.from_arrays(done, names=["anchor", "doc_id", "th", "start", "open", "bytes", "rest"])
+
             for doc, th, text, items in zip(batch["doc_id"].to_pylist(), batch["th"].to_pylist(), own, batch["runs"].to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 for r in items:
-                    for c, v in zip(cols, (r["anchor"], doc, th, r["start"], r["open"], data[r["start"] : r["stop"]])):
+                    if r["hot"]:
+                        for p in range(r["start"], r["stop"] - length + 1):
+                            first, rest = struct.unpack("<qq", xxhash.xxh3_128_digest(data[p : p + length]))
+                            for c, v in zip(cols, (first, doc, th, p, r["open"], None, rest)):
+                                c.append(v)
+                            if len(cols[0]) >= 1 << 16:
+                                yield taken()
+                        continue
+                    for c, v in zip(cols, (r["anchor"], doc, th, r["start"], r["open"], data[r["start"] : r["stop"]], None)):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["anchor", "doc_id", "th", "start", "open", "bytes"])
+            yield taken()
 
-    return wanted.mapInArrow(run, "anchor long, doc_id long, th long, start long, open boolean, bytes binary")
+    return wanted.mapInArrow(run, "anchor long, doc_id long, th long, start long, open boolean, bytes binary, rest long")
 
 
 def _sorted_shards(rows: DataFrame, length: int, scratch: str, shard: int = SHARD) -> DataFrame:
@@ -356,41 +375,54 @@ def _sorted_shards(rows: DataFrame, length: int, scratch: str, shard: int = SHAR
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "th", "start", "stop"])
 
         anchor = None
+        last, told = None, False  # the start before, of a hot anchor, and whether it has gone out
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "th", "start", "open", "bytes", "anchor"))):
+            again: list[list] = [[] for _ in range(4)]
+            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "th", "start", "open", "bytes", "anchor", "rest"))):
+                if row[4] is None:
+                    same = last is not None and last[5:] == row[5:]
+                    for doc, th, start, open_ in ([row[:4]] if told else [last[:4], row[:4]]) if same else []:
+                        if open_:
+                            for c, v in zip(again, (doc, th, start, start + length)):
+                                c.append(v)
+                    last, told = row, same
+                    continue
                 if size > shard and row[5] != anchor:
                     yield flush()
                     held, size = [], 0
                 anchor = row[5]
                 held.append(row[:5])
                 size += len(row[4])
+            if again[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in again], names=["doc_id", "th", "start", "stop"])
         if held:
             yield flush()
 
-    laid = rows.repartition("anchor").sortWithinPartitions("anchor").select("doc_id", "th", "start", "open", "bytes", "anchor")
+    laid = rows.repartition("anchor").sortWithinPartitions("anchor", "rest").select("doc_id", "th", "start", "open", "bytes", "anchor", "rest")
     return laid.mapInArrow(run, "doc_id long, th long, start long, stop long")
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th and ranges: an array of (start, stop) in bytes, unordered, possibly overlapping."""
+def removed_ranges(docs: DataFrame, length: int = LENGTH, hot: int = SHARD) -> DataFrame:
+    """doc_id, th and ranges: an array of (start, stop) in bytes, unordered, possibly overlapping. hot: the bytes of runs
+    under one anchor from which on they go by start."""
     spark = docs.sparkSession
     table = written(run_table(docs, length), "runs")
     by_digest = table.groupBy("anchor", "digest").agg(
         F.count("*").alias("c"), F.max("several").alias("several"), F.min(F.struct("doc_id", "th", "start", "n")).alias("rep")
     )
     by_digest = written(by_digest, "digests")
-    by_anchor = by_digest.groupBy("anchor").agg(F.count("*").alias("nd"), F.min("c").alias("least"), F.max("c").alias("most"), F.max("several").alias("any"))
-    by_anchor = by_anchor.where("nd > 1 OR most > 1 OR any").select("anchor", (((F.col("nd") > 1) & (F.col("least") == 1)) | F.col("any")).alias("sort"))
+    by_anchor = by_digest.groupBy("anchor").agg(F.count("*").alias("nd"), F.min("c").alias("least"), F.max("c").alias("most"), F.max("several").alias("any"), F.sum(F.col("rep.n") + length - 1).alias("bytes"))
+    by_anchor = by_anchor.where("nd > 1 OR most > 1 OR any").select("anchor", (((F.col("nd") > 1) & (F.col("least") == 1)) | F.col("any")).alias("sort"), (F.col("bytes") > hot).alias("hot"))
     settled = by_digest.where("c > 1").select("anchor", "digest")
     whole = table.join(settled, ["anchor", "digest"]).select("doc_id", "th", "start", (F.col("start") + F.col("n") + length - 1).alias("stop"))
 
-    unsettled = by_digest.join(by_anchor.where("sort").select("anchor"), "anchor").select(
-        "rep.doc_id", "rep.th", F.struct("anchor", "rep.start", (F.col("rep.start") + F.col("rep.n") + length - 1).alias("stop"), (F.col("c") == 1).alias("open")).alias("run")
+    unsettled = by_digest.join(by_anchor.where("sort").select("anchor", "hot"), "anchor").select(
+        "rep.doc_id", "rep.th", F.struct("anchor", "rep.start", (F.col("rep.start") + F.col("rep.n") + length - 1).alias("stop"), (F.col("c") == 1).alias("open"), "hot").alias("run")
     )
     runs_of = unsettled.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))  # bounded by the document's length
     source = docs.select("doc_id", "text", text_hash(F.col("text")).cast("long").alias("th"))
     wanted = source.join(runs_of, source["doc_id"].eqNullSafe(runs_of["doc_id"]) & (source["th"] == runs_of["th"])).select(source["doc_id"], source["th"], "text", "runs")
-    found = _sorted_shards(_bytes_of_runs(wanted), length, local_path(shared_dir(spark)) + "/quarry-queues")
+    found = _sorted_shards(_bytes_of_runs(wanted, length), length, local_path(shared_dir(spark)) + "/quarry-queues")
     return whole.union(found).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
@@ -404,9 +436,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, hot: int = SHARD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept: the bytes that remain, for every row of docs."""
-    ranges = removed_ranges(docs, length)
+    ranges = removed_ranges(docs, length, hot)
     source = docs.select("doc_id", "text", text_hash(F.col("text")).cast("long").alias("th"))
     joined = source.join(ranges, source["doc_id"].eqNullSafe(ranges["doc_id"]) & (source["th"] == ranges["th"]), "left").select(source["doc_id"], "text", "ranges")
 

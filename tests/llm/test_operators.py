@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import language_id, line_dedup, minhash, mixing, packing, quality_rules, queries, resampling, suffix_dedup, token_counts, topk_search
 
@@ -58,6 +59,28 @@ def test_suffix_dedup(spark, odd):
         assert got == brute_removed([r.text for r in docs.select("text").collect()])
 
 
+def test_suffix_dedup_of_a_string_in_a_third_of_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(map(str, rng.integers(10**6, 10**7, n)))
+    shared, near = words(13)[:100], words(30)
+    texts = [f"{words(60)} {shared if k % 3 == 0 else words(12)} {near[: 40 * (k % 5)]} {words(60)}" for k in range(240)]
+    texts += [f"{words(40)}{texts[0][300:900]}{words(30)}", texts[3], f"{words(20)}{shared * 9}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    most, rows_of = [], suffix_dedup._bytes_of_runs
+
+    def watched(wanted, length):
+        rows = rows_of(wanted, length)
+        most.append(rows.groupBy("anchor").agg(F.sum(F.length("bytes")).alias("n")).agg(F.max("n")).first()[0] or 0)
+        return rows
+
+    monkeypatch.setattr(suffix_dedup, "_bytes_of_runs", watched)
+    for hot in (0, 20_000):
+        got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.deduplicate(docs, hot=hot).collect())
+        assert got == brute_removed(texts) and most.pop() <= hot
+    suffix_dedup.deduplicate(docs, hot=1 << 40)
+    assert most.pop() > 20_000
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(3)
     for trial in range(120):
