@@ -8,9 +8,9 @@ is made from their histogram, which stays that small at any corpus size:
    largest length.
 2. Configurations: a linear program over the few rounded sizes, solved by column generation (a knapsack per column),
    says how often to use which combination of groups; it is rounded down.
-3. Substitution: each slot of a configuration takes an actual length of its group, largest first.
-4. Best fit: everything else, largest first, goes where it leaves the least room. The same is done for best fit alone,
-   without steps 1 to 3, and the plan with fewer sequences wins.
+3. Substitution: each slot of a configuration takes an actual length of its group, largest first; the last slot takes
+   the largest length of any group that fits what the actual lengths leave free.
+4. Best fit: the small lengths and what rounding down left over, largest first, go where they leave the least room.
 
 The plan is a list of patterns with multiplicities. A piece finds its place from its rank among the pieces of its
 length: ranks come from counts per partition, and a piece looks its slot up in the plan. Nothing is sorted globally.
@@ -22,6 +22,7 @@ the written piece table. An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ CAPACITY = 2048
 END = 0
 #: Groups of large lengths, and the length from which one is large, as a share of the capacity.
 GROUPS, LARGE = 48, 1 / 8
+#: The share of a configuration's copies that is used; the rest goes to best fit, which needs lengths to choose from.
+SURE = 0.9
 #: Texts of these characters only are split alike by both libraries; the faster one encodes them.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
 _encoders: dict[str, tuple] = {}
@@ -162,11 +165,10 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[Pattern, int]]:
     """Patterns of lengths and how often each is used; together they hold the histogram exactly."""
-    alone = _best_fit(dict(histogram), capacity, {})
     large = sorted((n for n in histogram if capacity * LARGE <= n < capacity and histogram[n]), reverse=True)
     total = sum(histogram[n] for n in large)
     bins: dict[Pattern, int] = defaultdict(int)
-    left = dict(histogram)
+    left = {n: k for n, k in histogram.items() if k}
     if total >= groups:
         quota, members, filled = total / groups, [[]], 0
         for n in large:  # equal cardinality; equal lengths stay together
@@ -176,26 +178,44 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
             filled += histogram[n]
         sizes = [g[0] for g in members]
         demand = [sum(histogram[n] for n in g) for g in members]
+        free = sorted(large)  # lengths that are left, ascending
+
+        def largest(most: int, used: dict[int, int], least: int = 0) -> int | None:
+            """The largest length up to most, and from least on, of which more are left than used."""
+            k = bisect_right(free, most) - 1
+            while k >= 0 and free[k] >= least and left[free[k]] <= used.get(free[k], 0):
+                k -= 1
+            return free[k] if k >= 0 and free[k] >= least else None
+
         for config, x in _configurations(sizes, demand, capacity):
-            for _ in range(64):  # each pass substitutes actual lengths for as many copies as go alike
-                slots = [i for i, k in enumerate(config) for _ in range(k)]
+            slots, x = [members[i] for i, k in enumerate(config) for _ in range(k)], int(SURE * x)
+            while x:  # each pass substitutes actual lengths for as many copies as go alike
                 pick: list[int] = []
-                used: dict[int, int] = {}
-                for i in slots:
-                    n = next((n for n in members[i] if left[n] > used.get(n, 0)), None)
-                    if n is not None:
+                used: dict[int, int] = defaultdict(int)
+                room = capacity
+                for k, g in enumerate(slots[:-1], 2 - len(slots)):
+                    n = None
+                    if not k:  # of two last slots the first leaves what some length fills, if it can
+                        fits = lambda a: room > a and left.get(room - a, 0) > used.get(room - a, 0) + (a == room - a)  # noqa: E731, B023
+                        n = next((a for a in g if left[a] > used.get(a, 0) and fits(a)), None)
+                    if n is not None or (n := largest(min(g[0], room), used, g[-1])) is not None:
                         pick.append(n)
-                        used[n] = used.get(n, 0) + 1
-                if x < 1 or len(pick) < len(slots) or not pick:
+                        used[n] += 1
+                        room -= n
+                while room and (n := room if left.get(room, 0) > used.get(room, 0) else largest(room, used)):
+                    pick.append(n)  # the last slot takes up what rounding left free
+                    used[n] += 1
+                    room -= n
+                if not pick:
                     break
-                times = int(min(int(x), *(left[n] // k for n, k in used.items())))
+                times = min(x, *(left[n] // k for n, k in used.items()))
                 bins[tuple(pick)] += times
                 x -= times
                 for n, k in used.items():
                     left[n] -= times * k
-    grouped = _best_fit({n: k for n, k in left.items() if k}, capacity, bins)
-    best = min((alone, grouped), key=lambda b: sum(b.values()))
-    return sorted(best.items())
+                    if not left[n] and n in free:
+                        free.remove(n)
+    return sorted(_best_fit({n: k for n, k in left.items() if k}, capacity, bins).items())
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str | None] | None = None) -> DataFrame:
