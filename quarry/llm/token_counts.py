@@ -1,16 +1,22 @@
 """Token counts that follow edits.
 
-A document is cut into leaves of about LEAF characters, each at a place where every text around it splits into
-pre-tokens: one space between two characters that aren't white space. Leaf counts add up, and a segment tree over the
-leaves holds the sums of characters and tokens. An edit changes the leaves it touches; where an end of a changed leaf
-is no longer such a place, the neighbour joins it. Only these leaves are encoded again, and their sums go up the tree.
+A document is cut into leaves of about LEAF characters, each between two pre-tokens: after a letter, before anything that
+isn't one; after a number likewise; or between a symbol and a number, space or line break. There every text splits,
+whatever surrounds it, so leaf counts add up, and a segment tree over the leaves holds the sums of characters and
+tokens. An edit changes the leaves it touches; where an end of the changed part is no longer such a place, the
+neighbour joins it. The changed part is cut into leaves anew, only these are encoded again, and their sums go up the
+tree; where there are more of them than before, the tree gets new slots and keeps the counts of all other leaves. A
+leaf is longer than LEAF only where one pre-token is: that must be encoded as a whole.
 
 Null and empty texts have no tokens. Edits are (start, stop, replacement) in characters of the text as it is at that
-moment, applied one after the other; equal starts are fine, and an edit beyond the end appends. Rows are independent.
+moment, applied one after the other; equal starts are fine, and an edit beyond the end appends. Rows are independent,
+and rows that repeat are counted each.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,23 +27,33 @@ from quarry.llm.model_text import texts
 from quarry.llm.packing import default_paths, encode, encoders
 
 LEAF = 1024
-#: What the query edits: e-mail addresses, then digit runs of five or more, are masked.
+#: What the query edits, in this order: e-mail addresses, then digit runs of five or more outside of them, are masked.
 MASKS = ((regex.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "EMAIL"), (regex.compile(r"[0-9]{5,}"), "00000"))
 
 
-def _split_at(text: str, i: int) -> bool:
-    return 0 < i < len(text) - 1 and text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()
+def _kind(c: str) -> str:
+    if c in " \n\r\t":
+        return "blank"
+    group = unicodedata.category(c)[0]
+    return {"L": "letter", "N": "number"}.get(group, "other" if group in "ZC" else "symbol")
+
+
+def _splits(a: str, b: str) -> bool:
+    """Whether every text splits between its parts that end in a and begin with b (two characters or more, if there are)."""
+    x, y = _kind(a[-1]), _kind(b[0])
+    if b.startswith("|>"):  # the end of a special token
+        return False
+    return x in ("letter", "number") and y != x or x == "symbol" and y in ("number", "blank")
 
 
 def leaves(text: str, size: int = LEAF) -> list[str]:
     out, at = [], 0
     while at < len(text):
-        i = text.find(" ", at + size)
-        while i >= 0 and not _split_at(text, i):
-            i = text.find(" ", i + 1)
-        stop = i if i > at else len(text)
-        out.append(text[at:stop])
-        at = stop
+        i = at + size
+        while i < len(text) and not _splits(text[i - 1], text[i : i + 2]):
+            i += 1
+        out.append(text[at:i])
+        at = i
     return out
 
 
@@ -45,12 +61,16 @@ class TokenTree:
     """Sums of characters and tokens over the leaves of one text."""
 
     def __init__(self, text: str, count: Callable[[str], int], size: int = LEAF):
-        self.count, self.encoded = count, 0
-        self.leaf = leaves(text, size) or [""]
-        self.base = 1 << (len(self.leaf) - 1).bit_length()
+        self.count, self.size, self.encoded = count, size, 0
+        parts = leaves(text, size) or [""]
+        self._build(parts, [count(x) for x in parts])
+
+    def _build(self, parts: list[str], tokens: list[int]) -> None:
+        self.leaf = parts
+        self.base = 1 << (len(parts) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.base), [0] * (2 * self.base)
-        for k, part in enumerate(self.leaf):
-            self.chars[self.base + k], self.tokens[self.base + k] = len(part), count(part)
+        self.chars[self.base : self.base + len(parts)] = map(len, parts)
+        self.tokens[self.base : self.base + len(parts)] = tokens
         for i in range(self.base - 1, 0, -1):
             self._sum(i)
 
@@ -58,12 +78,11 @@ class TokenTree:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _put(self, k: int, text: str) -> None:
-        """Leaf k gets a text; it is encoded and the sums above follow."""
+    def _put(self, k: int, text: str, tokens: int) -> None:
+        """Leaf k gets a text, and the sums above follow."""
         self.leaf[k] = text
         i = self.base + k
-        self.chars[i], self.tokens[i] = len(text), self.count(text)
-        self.encoded += len(text)
+        self.chars[i], self.tokens[i] = len(text), tokens
         while i := i // 2:
             self._sum(i)
 
@@ -90,16 +109,23 @@ class TokenTree:
         last, b = self.find(max(start, stop - 1))
         b = min(len(self.leaf[last]), b + (stop > start))
         changed = self.leaf[first][:a] + replacement + self.leaf[last][b:]
-        for k in range(first + 1, last + 1):
-            if self.leaf[k]:
-                self._put(k, "")
-        while (k := self._next(first, -1)) is not None and not _split_at(self.leaf[k][-1] + changed[:2], 1):
-            changed = self.leaf[k] + changed
-            self._put(k, "")
-        while (k := self._next(first, 1)) is not None and not (changed and _split_at(changed[-1] + self.leaf[k][:2], 1)):
-            changed += self.leaf[k]
-            self._put(k, "")
-        self._put(first, changed)
+        while (k := self._next(first, -1)) is not None and not (changed and _splits(self.leaf[k], changed)):
+            changed, first = self.leaf[k] + changed, k
+        while (k := self._next(last, 1)) is not None and not (changed and _splits(changed, self.leaf[k])):
+            changed, last = changed + self.leaf[k], k
+        parts = leaves(changed, self.size)
+        tokens = [self.count(x) for x in parts]
+        self.encoded += len(changed)
+        if len(parts) > last - first + 1:
+            held = [(x, self.tokens[self.base + i]) for i, x in enumerate(self.leaf) if x and not first <= i <= last]
+            before = sum(1 for x in self.leaf[:first] if x)
+            held[before:before] = zip(parts, tokens)
+            self._build([x for x, _ in held], [n for _, n in held])
+            return
+        for i in range(first, last + 1):
+            part, n = (parts[i - first], tokens[i - first]) if i - first < len(parts) else ("", 0)
+            if part or self.leaf[i]:
+                self._put(i, part, n)
 
     @property
     def total(self) -> int:
@@ -107,13 +133,17 @@ class TokenTree:
 
 
 def masks(text: str) -> list[tuple[int, int, str]]:
-    """The edits of MASKS, last first, so that no edit moves another."""
-    found = [(m.start(), m.end(), new) for pattern, new in MASKS for m in pattern.finditer(text)]
-    out: list[tuple[int, int, str]] = []
-    for a, b, new in sorted(found, reverse=True):
-        if not out or b <= out[-1][0]:
-            out.append((a, b, new))
-    return out
+    """The edits of MASKS, last first, so that no edit moves another; what overlaps an earlier pattern's match is left."""
+    taken: list[tuple[int, int, str]] = []
+    for pattern, new in MASKS:
+        before = [a for a, _, _ in taken]
+        found = []
+        for m in pattern.finditer(text):
+            k = bisect_left(before, m.end()) - 1
+            if k < 0 or taken[k][1] <= m.start():
+                found.append((m.start(), m.end(), new))
+        taken = sorted(taken + found)
+    return taken[::-1]
 
 
 def counts(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, str]]] = masks, paths: tuple[str, str | None] | None = None) -> DataFrame:
