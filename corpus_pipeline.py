@@ -28,8 +28,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are dropped or repeated as the rates for the target weights say."""
-    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents are dropped or repeated as the rates for the target weights say, four times at most: quality rules may
+    have left little of a domain."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), most=4.0, near=1e-4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

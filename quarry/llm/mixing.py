@@ -92,14 +92,21 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], te
     return step.select("row", "n_tokens", F.array(*[x / sum(e[1:], e[0]) for x in e]).alias("p"))
 
 
-def _rate(p: Column, step: list[float]) -> Column:
-    """x after the given sum of gradient steps, from x = 1."""
-    dot = sum((F.get(p, F.lit(j)) * F.lit(v) for j, v in list(enumerate(step))[1:]), F.get(p, F.lit(0)) * F.lit(step[0]))
-    return F.greatest(F.lit(0.0), 1.0 - dot)
+def _dot(p: Column, step: list[float]) -> Column:
+    return sum((F.get(p, F.lit(j)) * F.lit(v) for j, v in list(enumerate(step))[1:]), F.get(p, F.lit(0)) * F.lit(step[0]))
 
 
-def rates(mixed: DataFrame, targets: dict[str, float] | None = None, steps: int = 60, tolerance: float = 2e-3) -> tuple[Column, list[float]]:
-    """The rate as a column over p, and the shares reached. mixed: n_tokens and p, written.
+def _rate(p: Column, step: list[float], most: float | None = None) -> Column:
+    """x after the given sum of gradient steps, from x = 1, at least 0 and, if given, at most `most`."""
+    x = F.greatest(F.lit(0.0), 1.0 - _dot(p, step))
+    return x if most is None else F.least(F.lit(float(most)), x)
+
+
+def rates(
+    mixed: DataFrame, targets: dict[str, float] | None = None, steps: int = 60, tolerance: float = 2e-3, most: float | None = None, near: float = NEAR
+) -> tuple[Column, list[float]]:
+    """The rate as a column over p, and the shares reached. mixed: n_tokens and p, written. most: an upper bound of the
+    rates, beside the lower one of 0. near: the weight of the distance from x = 1.
 
     Warns when the nearest fit misses a target by more than tolerance; raises when no fit is found in `steps` passes.
     """
@@ -113,23 +120,25 @@ def rates(mixed: DataFrame, targets: dict[str, float] | None = None, steps: int
 
     def measured(step: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Shares, the Gram matrix of the rows with a rate above 0, and the function that the steps bring down."""
-        x = _rate(F.col("p"), step.tolist())
-        live = mixed.select("n_tokens", "p", x.alias("x")).where("x > 0")
-        sums = [F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in d for j in d if i <= j]
-        row = live.agg(*[F.sum(n * p[j] * F.col("x")).alias(f"t{j}") for j in d], F.sum(n * F.col("x") * F.col("x")).alias("xx"), *sums).first()
+        x = F.col("x")
+        live = mixed.select("n_tokens", "p", _rate(F.col("p"), step.tolist(), most).alias("x"), _dot(F.col("p"), step.tolist()).alias("q")).where("x > 0")
+        inside = F.lit(True) if most is None else x < most
+        sums = [F.sum(F.when(inside, n * p[i] * p[j])).alias(f"g{i}_{j}") for i in d for j in d if i <= j]
+        cost = n * (1 - (x - 1) * (x - 1) - 2 * x * F.col("q"))  # n * x * x inside the bounds
+        row = live.agg(*[F.sum(n * p[j] * x).alias(f"t{j}") for j in d], F.sum(cost).alias("xx"), *sums).first()
         share = np.array([row[f"t{j}"] or 0.0 for j in d]) / total
         gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in d] for i in d]) / total
-        return share, gram, (row["xx"] or 0.0) / total / 2 + float(aim @ step) + NEAR / 2 * float(step @ step)
+        return share, gram, (row["xx"] or 0.0) / total / 2 + float(aim @ step) + near / 2 * float(step @ step)
 
     step = np.zeros(len(DOMAINS))
     share, gram, value = measured(step)
     passes = 1
     while True:
-        slope = share - aim - NEAR * step
+        slope = share - aim - near * step
         reached = np.abs(share - aim).max() <= tolerance
         if reached or np.abs(slope).max() <= OPTIMAL:
             break
-        move = np.linalg.solve(gram + NEAR * np.eye(len(DOMAINS)), slope)
+        move = np.linalg.solve(gram + near * np.eye(len(DOMAINS)), slope)
         size, gain = 1.0, float(slope @ move)
         while True:
             if passes >= steps:
@@ -142,13 +151,15 @@ def rates(mixed: DataFrame, targets: dict[str, float] | None = None, steps: int
         step, (share, gram, value) = step + size * move, found
     if not reached:
         warnings.warn(f"mixing: the nearest fit has shares {share.round(6).tolist()} for targets {aim.tolist()}", stacklevel=2)
-    return _rate(F.col("p"), step.tolist()), share.tolist()
+    return _rate(F.col("p"), step.tolist(), most), share.tolist()
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_train: int = MAX_TRAIN, written_as: str = "mixing") -> DataFrame:
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_train: int = MAX_TRAIN, most: float | None = None, near: float = NEAR
+) -> DataFrame:
     """row, n_tokens, p, rate and copies: the rate, rounded up or down at random by a hash of doc_id and text."""
-    found = written(posteriors(docs, fit(docs, labels, max_train)), written_as)
-    rate, _ = rates(found, targets)
+    found = written(posteriors(docs, fit(docs, labels, max_train)), "mixing")
+    rate, _ = rates(found, targets, most=most, near=near)
     u = F.pmod(F.xxhash64("row.doc_id", "row.text"), F.lit(1_000_000)) / 1e6
     return found.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
@@ -170,8 +181,12 @@ def weights(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The mixture: each document as often as its rate says, with the columns of docs."""
-    out = mix(docs, labels, targets)
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = None, near: float = NEAR) -> DataFrame:
+    """The mixture: each document as often as its rate says, with the columns of docs.
+
+    Where a domain is nearly absent, unbounded rates repeat a few documents that may belong to it very often, and others
+    make room; with `most` and a larger `near` the mixture stays close to the documents there are.
+    """
+    out = mix(docs, labels, targets, most=most, near=near)
     out = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
