@@ -17,12 +17,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.model_text import texts
 
-BITS = 14
+BITS = 15
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb",
     "romance": "fr es it pt ro ca gl oc",
@@ -33,7 +33,7 @@ FAMILIES = {
     "han": "zh yue ja",
 }
 #: Training documents of each language, at most.
-PER_LANGUAGE = 400
+PER_LANGUAGE = 600
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -55,18 +55,38 @@ def hashed(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _svm(x: np.ndarray, use: np.ndarray, y: np.ndarray, rounds: int = 40, decay: float = 1e-5) -> np.ndarray:
+class Rows:
+    """Sparse rows of features, of the order of 1, as the constant is."""
+
+    def __init__(self, samples: list[str]):
+        found = [np.unique(hashed(t), return_counts=True) for t in samples]
+        self.size = np.array([len(u) for u, _ in found], dtype=np.int64)
+        self.at = np.append(0, np.cumsum(self.size))[:-1]
+        self.column = np.concatenate([u.astype(np.int32) for u, _ in found]) if found else np.zeros(0, np.int32)
+        self.value = np.concatenate([(40 * c / c.sum()).astype(np.float32) for _, c in found]) if found else np.zeros(0, np.float32)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(columns, values, where each row begins) of some rows."""
+        size = self.size[rows]
+        first = np.append(0, np.cumsum(size))[:-1]
+        which = np.arange(size.sum()) + np.repeat(self.at[rows] - first, size)
+        return self.column[which], self.value[which], first
+
+
+def _svm(x: Rows, use: np.ndarray, y: np.ndarray, rounds: int = 40, decay: float = 1e-5) -> np.ndarray:
     """Averaged subgradient descent on the hinge loss over the rows `use` of x; the last weight is the constant."""
-    rng, n = np.random.default_rng(7), len(y)
-    w, total, steps = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0
-    y = y.astype(np.float32)
-    weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))).astype(np.float32)
+    rng, n, width = np.random.default_rng(7), len(y), 1 << BITS
+    w, total, steps = np.zeros(width + 1), np.zeros(width + 1), 0
+    weight = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum())))
     for r in range(rounds):
         for part in np.array_split(rng.permutation(n), max(1, n // 32)):
-            miss = part[(x[use[part]] @ w) * y[part] < 1]
-            w *= np.float32(1 - decay)
-            if len(miss):
-                w += np.float32(2 / ((1 + r) * len(part))) * ((weight[miss] * y[miss]) @ x[use[miss]])
+            column, value, first = x.take(use[part])
+            miss = (np.add.reduceat(value * w[column], first) + w[-1]) * y[part] < 1
+            w *= 1 - decay
+            if miss.any():
+                pull = np.where(miss, weight[part] * y[part], 0.0) * (2 / ((1 + r) * len(part)))
+                w[:-1] += np.bincount(column, value * np.repeat(pull, x.size[use[part]]), width)
+                w[-1] += pull.sum()
             if r >= rounds // 2:
                 total, steps = total + w, steps + 1
     return total / max(1, steps)
@@ -78,12 +98,7 @@ class Model:
     def __init__(self, samples: list[tuple[str, str]]):
         self.langs = sorted({lang for _, lang in samples})
         self.families = sorted({family(x) for x in self.langs})
-        x = np.zeros((len(samples), (1 << BITS) + 1), dtype=np.float32)
-        for i, (text, _) in enumerate(samples):
-            f = hashed(text)
-            x[i, :-1] = np.bincount(f, minlength=1 << BITS) / len(f)
-        x[:, :-1] *= 40  # of the order of 1, as the constant is
-        x[:, -1] = 1
+        x = Rows([text for text, _ in samples])
         lang = np.array([y for _, y in samples])
         fam = np.array([family(y) for y in lang])
         self.jobs: list[tuple[str, str, str]] = []
@@ -94,10 +109,10 @@ class Model:
         for kind, a, b in pairs:
             of = fam if kind == "family" else lang
             use = np.flatnonzero((of == a) | (of == b))
-            y = np.where(of[use] == a, 1.0, -1.0)
-            w = _svm(x, use, y)
+            w = _svm(x, use, np.where(of[use] == a, 1.0, -1.0))
             self.jobs.append((kind, a, b))
-            columns.append(w / (np.median(np.abs((x @ w)[use])) or 1))
+            column, value, first = x.take(use)
+            columns.append(w / (np.median(np.abs(np.add.reduceat(value * w[column], first) + w[-1])) or 1))
         self.rows = np.array(columns, dtype=np.float32).T.copy() if columns else np.zeros(((1 << BITS) + 1, 0), np.float32)
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -125,16 +140,21 @@ def _remainder() -> F.Column:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of documents that aren't held out; at most per_language texts a language come to the driver."""
+    """A model of documents that aren't held out; at most per_language texts a language come to the driver.
+
+    One scan counts the languages, one takes the texts: about twice as many as needed by hash, then the first of these.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_remainder() != 0)).where(F.col("text").rlike(r"\p{L}"))
-    key = F.xxhash64("doc_id")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    chosen: list[tuple[str, str]] = []
-    for lang in sorted(sizes):
-        share = min(1.0, 2.0 * per_language / sizes[lang])
-        part = usable.where((F.col("lang") == lang) & (F.pmod(key, F.lit(1_000_000)) < share * 1_000_000))
-        chosen += [(r["text"], lang) for r in part.select("text").orderBy(key, "text").limit(per_language).collect()]
-    return Model(chosen)
+    usable = usable.select("lang", "text", F.xxhash64("doc_id").alias("key"))
+    sizes = usable.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count("*")).alias("share")).collect()  # a row a language
+    if not sizes:
+        return Model([])
+    # One row a language, as many as there are machines to train for: a proven bound for the broadcast.
+    shares = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in sizes], "lang string, share double"))
+    near = usable.join(shares, "lang").where(F.pmod("key", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))  # about 2 x per_language rows each
+    chosen = near.withColumn("place", place).where(F.col("place") <= per_language).select("text", "lang", "place").collect()
+    return Model([(r["text"], r["lang"]) for r in sorted(chosen, key=lambda r: (r["lang"], r["place"]))])
 
 
 def predictions(docs: DataFrame, model: Model) -> DataFrame:
