@@ -7,11 +7,14 @@ similarity of their full sets reaches the threshold.
 1. Signatures: HASHES minima under universal hash functions, in bands of ROWS minima. At 0.8 a pair shares no bucket
    with a probability of 5e-6, above it less. Documents with equal sets become one class at once, by grouping on a
    128-bit digest of the set, so copies never meet in pairs.
-2. Star pass: in each bucket every class is paired with the smallest one only. Signatures that are too far apart are
-   left out, the rest are compared on full sets, and components are formed.
-3. Rest pass: buckets that still hold several components are swept in blocks of signatures; pairs of different
-   components whose signatures are near enough are compared on full sets as well. So every link between two texts that
-   share a bucket either is verified or joins a component that already holds both ends: none is lost.
+2. Star pass: in each bucket every class is paired with the smallest one only. Pairs whose sizes or signatures are too
+   far apart are left out (six standard deviations below the threshold), the rest are compared on full sets, and
+   components are formed.
+3. Rest pass: buckets that still hold several components are swept; pairs of different components whose signatures are
+   near enough are compared on full sets as well. So every link between two texts that share a bucket either is verified
+   or joins a component that already holds both ends: none is lost. A bucket is swept by size: partners lie in the same
+   range of set sizes or the next. A range of over SWEPT classes is dealt out to parts, and each pair of parts is a
+   group of its own, so no task holds more than two parts, however hot a bucket is.
 4. Components: alternating large-star and small-star steps until the edges no longer change.
 
 A class that is compared with many gets its comparisons split over tasks, with a copy of its text in each. Null doc_id:
@@ -36,6 +39,8 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 #: Comparisons of one class that a task takes before they are split.
 PER_TASK = 512
+#: Classes of one bucket and size range that a task of the rest pass compares with as many others.
+SWEPT = 2048
 _rng = np.random.default_rng(20240201)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -139,24 +144,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, node_texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. node_texts: node and text."""
+    """The pairs (a, b) whose signatures are near and whose full sets are similar enough. node_texts: node, sketch, text."""
+    least = _least_agreement(percent)
     sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("deg")), "a")
     salted = sized.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / PER_TASK)).alias("salt"))
     heads = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("binary").alias("b"), F.col("a").alias("node"))
     wanted = salted.select("a", "salt", "b", F.col("b").alias("node")).union(heads)
-    laid = wanted.join(node_texts, "node").select("a", "salt", "b", "text")
+    laid = wanted.join(node_texts, "node").select("a", "salt", "b", "sketch", "text")
     laid = laid.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mine = None, None
+        head, near, mine = None, None, None
         for batch, own in texts(batches):
             a_out, b_out = [], []
-            for a, b, text in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), own):
-                s = shingles(text, width)
+            for a, b, sketch, text in zip(*(batch[c].to_pylist() for c in ("a", "b", "sketch")), own):
+                sketch = np.frombuffer(sketch, np.uint8)
                 if b is None:
-                    head, mine = a, s
+                    head, near, mine = a, sketch, shingles(text, width)
                     continue
                 assert a == head
+                if (near == sketch).sum() < least:
+                    continue
+                s = shingles(text, width)
                 common = len(np.intersect1d(mine, s, assume_unique=True))
                 if 100 * common >= percent * (len(mine) + len(s) - common):
                     a_out.append(a), b_out.append(b)
@@ -171,40 +180,54 @@ def _least_agreement(percent: int) -> int:
     return int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
 
 
-def sweep(members: DataFrame, percent: int) -> DataFrame:
+def sweep(members: DataFrame, percent: int, part: int = SWEPT) -> DataFrame:
     """Pairs (a, b) of one bucket in different components with near signatures. members: key, node, root, n, sketch."""
     least = _least_agreement(percent)
-    laid = members.repartition("key").sortWithinPartitions("key", "n")
+    # A partner of a set in one range of sizes is in the same range or, smaller, in the one below ("low"); ranges are a
+    # little wider than the threshold asks for, so rounding does no harm.
+    own = members.withColumn("range", F.floor(F.log("n") / F.log(F.lit(100 / percent + 0.01)))).withColumn("low", F.lit(False))
+    laid = own.union(own.withColumn("range", F.col("range") + 1).withColumn("low", F.lit(True)))
+    hashed = F.xxhash64("node")
+    # Hot groups alone have a row here, under 32 salts, so that the join doesn't bring them together again.
+    hot = laid.groupBy("key", "range").agg(F.count("*").alias("m")).where(F.col("m") > part)
+    hot = hot.select("key", "range", F.ceil(F.col("m") / part).alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("salt"))
+    few = laid.withColumn("salt", F.pmod(hashed, F.lit(32))).join(hot, ["key", "range", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    few = few.withColumn("i", F.pmod(hashed, F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    few = few.select("key", "range", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "low", "node", "root", "n", "sketch")
+    few = few.repartition("key", "range", "x", "y").sortWithinPartitions("key", "range", "x", "y", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def near(rows: list[tuple]) -> pa.RecordBatch:
-            k = np.stack([np.frombuffer(r[4], np.uint8) for r in rows])
-            n = np.array([r[3] for r in rows])
-            names = {r: i for i, r in enumerate({r[2] for r in rows})}
-            root = np.array([names[r[2]] for r in rows])
+            i_of, low, node, root, n, sketch = zip(*(r[4:] for r in rows))
+            k = np.stack([np.frombuffer(x, np.uint8) for x in sketch])
+            names = {r: i for i, r in enumerate(set(root))}
+            root, n, low, i_of = np.array([names[r] for r in root]), np.array(n), np.array(low), np.array(i_of)
+            across = rows[0][2] != rows[0][3]  # two parts: only pairs between them
             a_out, b_out = [], []
             for i in range(len(rows) - 1):  # by size: partners come before the first that is too large
                 stop = int(np.searchsorted(n, n[i] * 100 / percent, side="right"))
-                for s in range(i + 1, stop, 65536):
-                    at = np.flatnonzero(root[s : min(stop, s + 65536)] != root[i]) + s
-                    if len(at):
-                        at = at[(k[at] == k[i]).sum(axis=1) >= least]
-                    for j in at:
-                        a, b = sorted((rows[i][1], rows[j][1]))
-                        a_out.append(a), b_out.append(b)
+                ok = (root[i + 1 : stop] != root[i]) & ~(low[i + 1 : stop] & low[i])
+                if across:
+                    ok &= i_of[i + 1 : stop] != i_of[i]
+                at = np.flatnonzero(ok) + i + 1
+                if len(at):
+                    at = at[(k[at] == k[i]).sum(axis=1) >= least]
+                for j in at:
+                    a, b = sorted((node[i], node[j]))
+                    a_out.append(a), b_out.append(b)
             return pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
 
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("key", "node", "root", "n", "sketch"))):
-                if rows and row[0] != rows[0][0]:
+            for row in zip(*(batch[c].to_pylist() for c in ("key", "range", "x", "y", "i", "low", "node", "root", "n", "sketch"))):
+                if rows and row[:4] != rows[0][:4]:
                     yield near(rows)
                     rows = []
                 rows.append(row)
         if rows:
             yield near(rows)
 
-    return laid.select("key", "node", "root", "n", "sketch").mapInArrow(run, "a binary, b binary").distinct()
+    return few.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -217,9 +240,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keyed = classes.select("node", F.explode("keys").alias("key"))
     live = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("a")).where("m > 1").drop("m")
     buckets = written(keyed.join(live, "key"), "buckets")
-    involved = buckets.select("node").distinct().join(classes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.th")
+    involved = buckets.select("node").distinct().join(classes.select("node", "rep", "sketch"), "node").select("node", "sketch", "rep.doc_id", "rep.th")
     source = docs.select("doc_id", text_hash(F.col("text")).cast("long").alias("th"), "text").where("doc_id IS NOT NULL")
-    node_texts = written(source.join(involved, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    node_texts = written(source.join(involved, ["doc_id", "th"]).select("node", "sketch", "text").dropDuplicates(["node"]), "texts")
 
     stars = buckets.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = written(verified(stars, node_texts, width, percent), "links")
