@@ -8,7 +8,7 @@ all places but the first in the order of (doc_id, line).
 Occurrences are counted by grouping on the chunk's bytes themselves, after partial aggregation in each input
 partition: a chunk that a third of all documents share costs one row per partition. What goes back to the documents is
 the 128-bit hash, and only where all chunks under it proved byte-equal: should two byte sequences ever share a hash,
-both stay, so nothing is removed unless its bytes were compared.
+both stay, so nothing is removed unless its bytes were compared. On the way back a hot chunk is split over SALTS tasks.
 
 That rule, which ORACLE states, sees a short passage only where its foreign neighbours happen to cut it off. passages()
 looks at every place instead: from each line with a word on, and back from it, the shortest stretch of two or more
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import computed, text_hash
+from quarry.llm.common import computed, text_hash, written
 from quarry.llm.model_text import texts
 
 _WORD = r"[^\x20\x09-\x0D]"
+#: A chunk with more than one in HOT of all occurrences is split over SALTS tasks where it goes back to its documents.
+HOT, SALTS = 10_000, 64
 
 
 def chunk_starts(lines: Column, rolling: Column) -> Column:
@@ -94,18 +96,32 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     )
 
 
+def known_firsts(found: DataFrame) -> DataFrame:
+    """h, first and n of the chunks that occur twice or more, written; found: h, chunk, doc_id, th, start.
+
+    Only hashes whose chunks are all equal byte by byte are known.
+    """
+    by_bytes = found.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("first"))
+    by_hash = by_bytes.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    return written(by_hash.where((F.col("texts") == 1) & (F.col("n") > 1)).select("h", "first", "n"), "chunks")
+
+
+def with_firsts(found: DataFrame, known: DataFrame, hot: int = HOT) -> DataFrame:
+    """found with `first`, where its h is known. A hash with over 1/hot of all occurrences goes to SALTS tasks."""
+    total = known.agg(F.sum("n")).first()[0] or 0
+    many = F.col("n") > total // hot
+    # Each holds more than 1/hot of all occurrences, so there are fewer than hot of them: a proven bound.
+    marks = F.broadcast(known.where(many).select("h", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    spread = known.select("h", "first", F.explode(F.when(many, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
+    return found.join(marks, "h", "left").withColumn("salt", salt).drop("hot").join(spread, ["h", "salt"]).drop("salt")
+
+
 def repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """doc_id, th, and gone: the (start, n_lines) of a document's chunks that are removed."""
     found = occurrences(docs, min_words)
-    by_bytes = found.groupBy("h", "chunk").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "start")).alias("first")
-    )
-    by_hash = by_bytes.groupBy("h").agg(
-        F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")
-    )
-    known = by_hash.where((F.col("texts") == 1) & (F.col("n") > 1)).select("h", "first")
     mine = F.struct("doc_id", "th", "start")
-    gone = found.drop("chunk").join(known, "h").where(~mine.eqNullSafe(F.col("first")))
+    gone = with_firsts(found.drop("chunk"), known_firsts(found)).where(~mine.eqNullSafe(F.col("first")))
     cols = ["doc_id", "th", "start", "n_lines"]
     return gone.select(*cols).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n_lines")).alias("gone"))
 
@@ -152,10 +168,7 @@ def _places(docs: DataFrame, min_words: int, whole: bool) -> DataFrame:
 def passages(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """doc_id, th, gone: the (start, n_lines) of a document's stretches that came before, and kept: those that are the first."""
     mine = F.struct("doc_id", "th", "start")
-    by_bytes = _places(docs, min_words, True).groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(mine).alias("first"))
-    by_hash = by_bytes.groupBy("h").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"))
-    known = by_hash.where((F.col("texts") == 1) & (F.col("n") > 1)).select("h", "first")
-    each = _places(docs, min_words, False).join(known, "h").select("doc_id", "th", mine.eqNullSafe(F.col("first")).alias("is_first"), F.struct("start", "n_lines").alias("p"))
+    each = with_firsts(_places(docs, min_words, False), known_firsts(_places(docs, min_words, True))).select("doc_id", "th", mine.eqNullSafe(F.col("first")).alias("is_first"), F.struct("start", "n_lines").alias("p"))
     each = each.groupBy("doc_id", "th").agg(  # bounded by the document's lines
         F.collect_set(F.when(~F.col("is_first"), F.col("p"))).alias("gone"), F.collect_set(F.when(F.col("is_first"), F.col("p"))).alias("kept")
     )
