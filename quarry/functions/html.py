@@ -12,19 +12,32 @@ from pyspark.sql import types as T
 
 from quarry.functions.urls import normalize
 
-INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time u var".split())
-SPACERS = frozenset("br wbr img script style noscript input select option textarea button audio video source track canvas object embed iframe svg map area picture".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = frozenset(("script", "style", "noscript"))
-_CELL = frozenset("td th".split())
-_ROWS = frozenset("tr tbody thead tfoot".split())
-_AFTER_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+def _tags(*names: str) -> frozenset[str]:
+    return frozenset(" ".join(names).split())
+
+
+#: Tags inside a word: no space comes of them.
+INLINE = _tags("strong em b i u s small mark", "sub sup span q a abbr cite dfn", "code kbd samp var data time", "bdi bdo ruby rt rp wbr")
+SILENT = _tags("noscript script style")
+#: Tags inside a paragraph: a space, but no new block.
+SPACERS = SILENT | _tags("br img picture source map area svg math", "video audio canvas object embed iframe", "input button select textarea label output progress meter", "ins del font tt big strike")
+VOID = _tags("br wbr hr img area source track embed", "input param col base link meta")
+_TABLE = _tags("tr td th", "thead tbody tfoot", "caption colgroup col")
+_CELLS = _tags("td th")
+_HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
+_AFTER_P = _HEADINGS | (_TABLE - {"col"}) | _tags(
+    "p pre div center blockquote listing xmp plaintext", "ul ol li dl dt dd dir menu", "section article aside nav main search hgroup header footer",
+    "figure figcaption details summary dialog fieldset form address table hr",
+)
 BLOCK = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])
 #: An open element on the left ends when one of those on the right begins.
 CLOSED_BY = {
-    "p": _AFTER_P | _CELL | _ROWS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"},
-    "td": _CELL | _ROWS, "th": _CELL | _ROWS, "tr": _ROWS, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "tfoot": {"tbody"},
-    "caption": _CELL | _ROWS | {"colgroup"}, "colgroup": _ROWS, "rt": {"rt", "rp"}, "rp": {"rt", "rp"},
+    "p": _AFTER_P, "li": _tags("li"),
+    **dict.fromkeys(("dd", "dt"), _tags("dd dt")),
+    **dict.fromkeys(("optgroup",), _tags("optgroup hr")), "option": _tags("option optgroup hr"),
+    **dict.fromkeys(("rp", "rt"), _tags("rb rp rt rtc")),
+    **dict.fromkeys(("caption", "td", "th"), _TABLE), "tr": _TABLE - _CELLS, "colgroup": _TABLE - {"col"},
+    **dict.fromkeys(("tbody", "tfoot", "thead"), _TABLE - _CELLS - {"tr"}),
 }
 _CONTROL = dict.fromkeys([*range(32), *range(127, 160)])
 
