@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,10 +107,58 @@ def stem(word: str) -> str:
 @F.pandas_udf(T.StringType())
 def term_udf(token: pd.Series) -> pd.Series:
     """Diacritics folded, then stemmed; apply it to distinct tokens."""
-    return token.map(lambda t: stem(fold(t)) if t is not None else None)
+    return token.map(lambda t: term(t) if t is not None else None)
+
+
+_TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
+
+
+def tokens(text: str) -> list[str]:
+    """The terms of a text: lower-cased tokens, folded and stemmed."""
+    return [term(t) for t in _TOKEN.findall(text.lower())]
+
+
+@lru_cache(1 << 17)
+def term(token: str) -> str:
+    return stem(fold(token))
 
 
 def query_terms(query: str) -> list[list[str]]:
     """The terms of a query, each as its token stems; control characters go first, so a tab joins."""
-    clean = "".join(c for c in query if ord(c) >= 32 and not 127 <= ord(c) < 160)
-    return [t for t in ([stem(fold(x)) for x in re.findall(r"[^\W_]+", word.lower())] for word in clean.split()) if t]
+    return [t for t in map(tokens, cleaned(query).split()) if t]
+
+
+def cleaned(query: str) -> str:
+    """A query without control characters."""
+    return "".join(c for c in query if ord(c) >= 32 and not 127 <= ord(c) < 160)
+
+
+def snippet(text: str, wanted: list[tuple[list[str], bool]], size: int = 20) -> tuple[str, bool]:
+    """At most `size` tokens of a text around its matches, and whether there are any.
+
+    wanted: phrases as (terms, whether the last is a prefix). The window is the first of those with most different
+    phrases; what is cut off on either side shows as an ellipsis. Without a match it is the beginning.
+    """
+    spans = [m.span() for m in _TOKEN.finditer(text)]
+    terms = [term(text[a:b].lower()) for a, b in spans]
+    hits: list[tuple[int, int]] = []
+    for p, (phrase, prefix) in enumerate(wanted):
+        n = len(phrase)
+        for i in range(len(terms) - n + 1):
+            last = terms[i + n - 1].startswith(phrase[-1]) if prefix else terms[i + n - 1] == phrase[-1]
+            if last and terms[i : i + n - 1] == phrase[:-1]:
+                hits.append((i, p))
+    hits.sort()
+    start = 0
+    if hits:
+        best = max(hits, key=lambda h: (len({p for i, p in hits if h[0] <= i < h[0] + size}), -h[0]))
+        start = max(0, min(best[0] - 2, len(spans) - size))
+        start = min(start, best[0])
+    stop = min(len(spans), start + size)
+    if not spans:
+        return text[:0], False
+    head = "" if start == 0 else "…"
+    tail = "" if stop == len(spans) else "…"
+    a = 0 if start == 0 else spans[start][0]
+    b = len(text) if stop == len(spans) else spans[stop - 1][1]
+    return head + text[a:b] + tail, bool(hits)

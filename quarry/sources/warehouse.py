@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
+import zlib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.urls import domain_key_column
+from quarry.sources.storage import Folder
 
 PAGES = "url string, html string, status int, fetched_at timestamp"
 QUEUE = "url string, seen timestamp"
@@ -69,23 +71,66 @@ class Snapshots:
     """Tables as immutable folders and a pointer file that is replaced in one step: a failed run leaves the old one."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.folder = spark, Folder(spark, path)
+
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str) -> Snapshots:
+        """An existing warehouse; nothing is created."""
+        found = cls(spark, path)
+        found.current()
+        return found
 
     def current(self) -> str:
-        try:
-            with open(f"{self.path}/_CURRENT") as f:
-                return f"{self.path}/{f.read().strip()}"
-        except FileNotFoundError as e:
-            raise WarehouseMissing(self.path) from e
+        if not self.folder.path or not self.folder.exists("_CURRENT"):
+            raise WarehouseMissing(self.folder.path)
+        return f"{self.folder.path}/{self.folder.read('_CURRENT').strip()}"
+
+    def has(self, table: str) -> bool:
+        return self.folder.exists(f"{self.folder.read('_CURRENT').strip()}/{table}") if self.folder.exists("_CURRENT") else False
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.current()}/{table}")
 
     def write(self, **tables: DataFrame) -> None:
+        """All given tables become the current ones together; the snapshot before stays until sweep()."""
         name = f"v-{uuid.uuid4().hex}"
         for table, df in tables.items():
-            df.write.parquet(f"{self.path}/{name}/{table}")
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/_NEXT", "w") as f:
-            f.write(name)
-        os.replace(f"{self.path}/_NEXT", f"{self.path}/_CURRENT")
+            df.write.parquet(f"{self.folder.path}/{name}/{table}")
+        self.folder.replace("_CURRENT", name)
+
+    def sweep(self) -> int:
+        """Removes the snapshots that aren't current, when no reader is left; how many they were."""
+        now = self.folder.read("_CURRENT").strip()
+        old = [n for n in self.folder.names() if n.startswith("v-") and n != now]
+        for n in old:
+            self.folder.delete(n)
+        return len(old)
+
+
+def create(spark: SparkSession, path: str) -> Snapshots:
+    """The warehouse at a place, with empty tables pages and queue if there is none yet."""
+    found = Snapshots(spark, path)
+    if not found.folder.exists("_CURRENT"):
+        found.write(pages=spark.createDataFrame([], PAGES), queue=spark.createDataFrame([], QUEUE))
+    return found
+
+
+def get_html(pages: DataFrame, url: str) -> str | None:
+    """The stored page of a URL, or None."""
+    row = pages.where(F.col("url") == url).select("html").first()
+    return row["html"] if row else None
+
+
+def known(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """The rows of urls that have a page, fresh or not."""
+    return urls.join(pages.select("url"), "url", "left_semi")
+
+
+@F.pandas_udf("string")
+def _inflated_udf(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else (zlib.decompress(b) if b[:1] == b"\x78" else bytes(b)).decode("utf-8", "replace"))
+
+
+def inflated(stored: DataFrame, column: str = "html") -> DataFrame:
+    """Pages of a store that mixes plain UTF-8 and zlib streams in one binary column, as text."""
+    return stored.withColumn(column, _inflated_udf(column))
