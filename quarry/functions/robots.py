@@ -9,6 +9,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.urls import domain_key, domain_key_column, parts
 
@@ -88,12 +89,12 @@ def allowed(url: str, status: int, body: str | None, agent: str = AGENT) -> bool
         return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def allowed_udf(url: pd.Series, status: pd.Series, body: pd.Series) -> pd.Series:
     return pd.Series([allowed(u, int(s), b) if u is not None and s == s else False for u, s, b in zip(url, status, body)], dtype=bool)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def crawl_delay_udf(status: pd.Series, body: pd.Series) -> pd.Series:
     return pd.Series([crawl_delay(b) if s == 200 and b is not None else None for s, b in zip(status, body)], dtype="float64")
 

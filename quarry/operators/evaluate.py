@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.html import Tolerant, _Blocks, clip, extract_blocks
 from quarry.operators.search import needles
@@ -136,7 +137,10 @@ def merged_positions(blocks: list[str], reference: list[str]) -> list[int] | Non
     return out if j == len(reference) else None
 
 
-_SHAPE = "struct<blocks:int,pre:int,more:int,less:int,differs:boolean,positions:array<int>,aligned:boolean>"
+_SHAPE = T.StructType([
+    *[T.StructField(c, T.IntegerType()) for c in ("blocks", "pre", "more", "less")], T.StructField("differs", T.BooleanType()),
+    T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("aligned", T.BooleanType()),
+])
 
 
 @F.pandas_udf(_SHAPE)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.urls import domain_key_column
 from quarry.sources.storage import Folder
@@ -68,7 +70,8 @@ def host_count(pages: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """Tables as immutable folders and a pointer file that is replaced in one step: a failed run leaves the old one."""
+    """Tables as immutable folders, and a pointer file that names the folders of each table and is replaced in one step:
+    a failed run leaves the old state. append() adds a folder to a table, so a small change costs no rewriting."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.folder = spark, Folder(spark, path)
@@ -80,33 +83,47 @@ class Snapshots:
         found.current()
         return found
 
-    def current(self) -> str:
+    def current(self) -> dict[str, list[str]]:
         if not self.folder.path or not self.folder.exists("_CURRENT"):
             raise WarehouseMissing(self.folder.path)
-        return f"{self.folder.path}/{self.folder.read('_CURRENT').strip()}"
+        return json.loads(self.folder.read("_CURRENT"))
 
     def has(self, table: str) -> bool:
-        return self.folder.exists(f"{self.folder.read('_CURRENT').strip()}/{table}") if self.folder.exists("_CURRENT") else False
+        return self.folder.exists("_CURRENT") and table in self.current()
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.current()}/{table}")
+        return self.spark.read.parquet(*[f"{self.folder.path}/{f}" for f in self.current()[table]])
 
-    def write(self, **tables: DataFrame) -> None:
-        """All given tables become the current ones together; the snapshot before stays until sweep()."""
+    def _put(self, before: dict[str, list[str]], tables: dict[str, DataFrame]) -> None:
         name = f"v-{uuid.uuid4().hex}"
         for table, df in tables.items():
             df.write.parquet(f"{self.folder.path}/{name}/{table}")
-        self.folder.replace("_CURRENT", name)
+        self.folder.replace("_CURRENT", json.dumps(before | {t: [*before.get(t, []), f"{name}/{t}"] for t in tables}))
+
+    def write(self, **tables: DataFrame) -> None:
+        """The given tables get new contents, together; the folders before stay until sweep()."""
+        before = self.current() if self.folder.exists("_CURRENT") else {}
+        self._put({t: f for t, f in before.items() if t not in tables}, tables)
+
+    def append(self, **tables: DataFrame) -> None:
+        """The given rows are added to their tables, together."""
+        self._put(self.current(), tables)
 
     def sweep(self) -> int:
-        """Removes the snapshots that aren't current, when no reader is left; how many they were."""
-        now = self.folder.read("_CURRENT").strip()
-        old = [n for n in self.folder.names() if n.startswith("v-") and n != now]
+        """Removes the folders that no table names, when no reader is left; how many they were."""
+        live = {f.split("/")[0] for folders in self.current().values() for f in folders}
+        old = [n for n in self.folder.names() if n.startswith("v-") and n not in live]
         for n in old:
             self.folder.delete(n)
         return len(old)
 
 
+def latest(fetched: DataFrame) -> DataFrame:
+    """One row per URL of appended fetches, the last one."""
+    last = Window.partitionBy("url").orderBy(F.col("fetched_at").desc(), F.col("status"))
+    return fetched.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+
+
 def create(spark: SparkSession, path: str) -> Snapshots:
     """The warehouse at a place, with empty tables pages and queue if there is none yet."""
     found = Snapshots(spark, path)
@@ -126,7 +143,7 @@ def known(pages: DataFrame, urls: DataFrame) -> DataFrame:
     return urls.join(pages.select("url"), "url", "left_semi")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _inflated_udf(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: None if b is None else (zlib.decompress(b) if b[:1] == b"\x78" else bytes(b)).decode("utf-8", "replace"))
 

@@ -2,26 +2,46 @@
 
 from __future__ import annotations
 
+import threading
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def limiter(limit: int, window: float) -> Callable[[float], bool]:
-    """Allows `limit` calls in any `window` seconds; rejected calls don't count."""
-    log: deque[float] = deque()
+class limiter:  # noqa: N801
+    """Allows `limit` calls in any `window` seconds; rejected calls don't count. log: the times allowed so far."""
 
-    def allow(t: float) -> bool:
-        while log and log[0] <= t - window:
-            log.popleft()
-        if len(log) >= limit:
+    def __init__(self, limit: int, window: float, log: Iterable[float] = ()):
+        self.limit, self.window, self.log = limit, window, deque(log)
+
+    def __call__(self, t: float) -> bool:
+        while self.log and self.log[0] <= t - self.window:
+            self.log.popleft()
+        if len(self.log) >= self.limit:
             return False
-        log.append(t)
+        self.log.append(t)
         return True
 
-    return allow
+
+class Limiters:
+    """A limiter for each key, on one machine; sweep() forgets the keys that are idle."""
+
+    def __init__(self, limit: int, window: float, clock: Callable[[], float]):
+        self.limit, self.window, self.clock = limit, window, clock
+        self.keys: dict[str, limiter] = {}
+        self.lock = threading.Lock()
+
+    def allow(self, key: str) -> bool:
+        with self.lock:
+            return self.keys.setdefault(key, limiter(self.limit, self.window))(self.clock())
+
+    def sweep(self) -> int:
+        with self.lock:
+            now = self.clock()
+            self.keys = {k: x for k, x in self.keys.items() if x.log and x.log[-1] > now - self.window}
+            return len(self.keys)
 
 
 def penalty(before: float, refused: bool, ok: bool, most: float = 30.0) -> tuple[float, bool]:
@@ -34,29 +54,48 @@ def penalty(before: float, refused: bool, ok: bool, most: float = 30.0) -> tuple
     return before, False
 
 
+def _scanned(events: DataFrame, key: str, order: list[str], schema: str, step: Callable[[], Callable[[dict], tuple]]) -> DataFrame:
+    """events with what step() says of each row, in order within its key. A partition is read as a stream in the order of
+    key and time, so a key takes no more memory than its state, however many rows it has."""
+    names = [c for c, _ in events.dtypes]
+    new = [x.split()[0] for x in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, first, of = None, True, step()
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                k = getattr(row, key)
+                if first or k != last and not (pd.isna(k) and pd.isna(last)):
+                    last, first, of = k, False, step()
+                out.append(of(row))
+            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(out, columns=new)], axis=1)
+
+    whole = ", ".join(f"{c} {t}" for c, t in events.dtypes) + ", " + schema
+    return events.repartition(key).sortWithinPartitions(key, *order).select(*names).mapInPandas(run, whole)
+
+
 def rate_limit(events: DataFrame, key: str, order: list[str], limit: int, window: float) -> DataFrame:
     """events with `allowed`; column t is the time in seconds."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", *order])
+    def step() -> Callable:
         allow = limiter(limit, window)
-        return part.assign(allowed=[allow(t) for t in part["t"]])
+        return lambda row: (allow(row.t),)
 
-    schema = ", ".join(f"{c} {t}" for c, t in events.dtypes) + ", allowed boolean"
-    return events.groupBy(key).applyInPandas(run, schema)
+    return _scanned(events, key, ["t", *order], "allowed boolean", step)
 
 
 def penalties(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """events (refused, ok) with the delay after each, and whether the server is dropped by then."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        delay, dropped, out = 0.0, False, []
-        for refused, ok in part.sort_values(order)[["refused", "ok"]].itertuples(index=False):
-            if not dropped:
-                delay, dropped = penalty(delay, refused, ok)
-            out.append((delay, dropped))
-        part = part.sort_values(order)
-        return part.assign(delay=[a for a, _ in out], dropped=[b for _, b in out])
-
-    schema = ", ".join(f"{c} {t}" for c, t in events.dtypes) + ", delay double, dropped boolean"
-    return events.groupBy(key).applyInPandas(run, schema)
+    def step() -> Callable:
+        state = [0.0, False]
+
+        def of(row) -> tuple:
+            if not state[1]:
+                state[:] = penalty(state[0], row.refused, row.ok)
+            return tuple(state)
+
+        return of
+
+    return _scanned(events, key, order, "delay double, dropped boolean", step)
