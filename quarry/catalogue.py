@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.html import blocks_udf, links_udf, noindex_udf, text_udf
+from quarry.functions.html import INLINE, SPACERS, blocks_udf, links_udf, noindex_udf, text_udf
+from quarry.functions.robots import base_column
 from quarry.functions.text import bigrams_column, tokens_column
 from quarry.functions.urls import domain_key_column, fold_dots_column, normalize_udf
 from quarry.operators import evaluate, search
+from quarry.operators.index import SearchIndex
+from quarry.serve import is_safe_href
+from quarry.session import scratch
 from quarry.sources import warehouse
 from quarry.streaming import state
 
@@ -80,20 +86,56 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(found, search.statistics(found, docs.count()), "the")
 
 
-def _literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+URLS = [
+    "http://A.test/p", "HTTP://a.test:80/a/../p#s", "https://a.test:443/p", "http://a.test", "http://a.test?q=a/../b", "http://h/%ea?x=%2f", "http://h/가#f", "http://a.test:8080/b//c/./",
+    "http://u:w@A.test:80/p", "http://a.test/..//a", "http://a.test/100%off",
+]
+NOINDEX = ["<meta name=robots content=noindex>", "<meta name=robots content=index>", "<p>noindex</p>", '<meta name="&#114;obots" content="none">', "<!--<meta name=robots content=noindex>-->", "<meta name='ROBOTS' content='NOFOLLOW, NOINDEX'>", "<meta name=googlebot content=noindex>"]
+HIDDEN = ["<div hidden>x</div><p>see</p>", '<p style="display: none">x</p><p>one</p>', "<template>x</template><p>two</p>", '<p style="font-size:0.9em">three</p>', '<p aria-hidden="true">x</p><p aria-hidden="false">four</p>']
+HANGUL = ["일출봉", "올레 길", "Python tuple 3.9", "가나 abc 다라", "밥", "가 나 다 라 abc 마 바"]
+PATHS = ["/a/../p", "/../p", "/a/b/.", "/a/..", "/a//b", "/a//../b", "/..//a", "/"]
 
 
-URLS = [("http://A.test/p", "http://a.test/p"), ("http://a.test:80/a/../p#s", "http://a.test/p"), ("http://a.test", "http://a.test/"), ("http://h/%ea", "http://h/%EA"), ("http://h/가", "http://h/%EA%B0%80")]
-NOINDEX = [("<meta name=robots content=noindex>", True), ("<meta name=robots content=index>", False), ("<p>noindex</p>", False), ('<meta name="&#114;obots" content="none">', True)]
-HIDDEN = [("<div hidden>x</div><p>see</p>", "see"), ('<p style="display: none">x</p><p>one</p>', "one"), ("<template>x</template><p>two</p>", "two"), ('<p style="font-size:0.9em">three</p>', "three")]
-HANGUL = [("일출봉", "일출 출봉"), ("올레 길", "올레 레길"), ("Python tuple 3.9", ""), ("가나 abc 다라", "가나 다라"), ("밥", "")]
-PATHS = ["/a/../p", "/../p", "/a/b/.", "/a/..", "/a//b", "/a//../b", "/..//a", "/"]
+def _with(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """The column of a table, and some values that the table lacks."""
+    return df.select(column).union(df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")).distinct()
+
+
+def _values(values: list[str], name: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join('(' + chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) + ')' for v in values)}) t({name})"
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    return _table("pages")(s, d).select(F.explode(links_udf("url", "html")).alias("url"))
+
+
+def _stored(spark: SparkSession, d: str) -> SearchIndex:
+    """An index of the pages, made in two runs: one half, then all."""
+    index = SearchIndex(spark, f"{scratch(spark)}/index-{uuid.uuid4().hex}")
+    p = _pages(spark, d).withColumn("status", F.lit(200))
+    index.build(p.where("page_id % 2 = 0"), datetime(2024, 2, 2, tzinfo=timezone.utc))
+    index.build(p, datetime(2024, 2, 3, tzinfo=timezone.utc))
+    return index
+
+
+def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each 20th document as a query that it answers itself, and all documents of its source, shortest first."""
+    docs = _table("documents")(s, d).select("doc_id", "lang", "source", "n_chars")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q"), "lang", "source", F.col("doc_id").alias("answer"))
+    place = Window.partitionBy("source").orderBy("n_chars", "doc_id")
+    each = docs.withColumn("rank", F.row_number().over(place)).select("source", "rank", F.col("doc_id").alias("url"))
+    return each, asked
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """q, url and rank of the documents that answer each query of _ranked."""
+    each, asked = _ranked(s, d)
+    return asked.select("q", "source").join(each.where("rank <= 40"), "source").select("q", "url", "rank")
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    quote = lambda v: str(v).upper() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) t({names})"
+def _best(s: SparkSession, d: str) -> DataFrame:
+    lines = _docs(s, d).select("doc", F.posexplode(F.split("body", "\n")).alias("position", "text"))
+    return search.best_passage(lines, ["ing"]).select(F.lit("ing").alias("q"), "text")
 
 
 def queries() -> dict[str, Query]:
@@ -128,14 +170,16 @@ def queries() -> dict[str, Query]:
         "host_count": lambda s, d: warehouse.host_count(_table("pages")(s, d)),
         "oldest_pages": lambda s, d: warehouse.oldest(_pages(s, d), 40).select("url"),
         "url_domain_key": lambda s, d: _table("pages")(s, d).select("page_id", domain_key_column(F.col("url")).alias("server")),
-        "url_normalize": lambda s, d: _literals(s, [(u,) for u, _ in URLS], "url string").select("url", normalize_udf("url").alias("normal")),
-        "url_fold_dots": lambda s, d: _literals(s, [(p,) for p in PATHS], "path string").select("path", fold_dots_column(F.col("path")).alias("folded")),
+        "url_normalize": lambda s, d: _with(_links(s, d).union(_table("pages")(s, d).select("url")), "url", URLS).select("url", normalize_udf("url").alias("normal")),
+        "url_fold_dots": lambda s, d: _with(_links(s, d).select(F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1).alias("path")), "path", PATHS).select("path", fold_dots_column(F.col("path")).alias("folded")),
+        "robots_base": lambda s, d: _with(_links(s, d), "url", ["HTTPS://B.test:0443/x", "http://u@b.test:080/1"]).select("url", base_column(F.col("url")).alias("base")),
+        "safe_links": lambda s, d: _with(_links(s, d), "url", ["javascript:x", "//h/x", "data:text"]).select("url", is_safe_href(F.col("url")).alias("safe")),
         "page_links": lambda s, d: _pages(s, d).select("page_id", F.explode(links_udf("url", "html")).alias("link")),
         "page_text": lambda s, d: _pages(s, d).select("page_id", text_udf("html").alias("x")).select("page_id", "x.title", F.length("x.body").alias("n_chars")),
-        "page_blocks": lambda s, d: _pages(s, d).select("page_id", F.explode(blocks_udf("html")).alias("b")).select("page_id", "b.position", "b.tag", "b.text"),
-        "noindex_flags": lambda s, d: _literals(s, [(h,) for h, _ in NOINDEX], "html string").select("html", noindex_udf("html").alias("noindex")),
-        "hidden_blocks": lambda s, d: _literals(s, [(h,) for h, _ in HIDDEN], "html string").select("html", F.explode(blocks_udf("html")).alias("b")).select("html", F.col("b.text").alias("text")),
-        "hangul_bigrams": lambda s, d: _literals(s, [(t,) for t, _ in HANGUL], "text string").select("text", bigrams_column(F.col("text")).alias("grams")),
+        "page_blocks": lambda s, d: _pages(s, d).select("page_id", F.explode(blocks_udf("html")).alias("b")).select("page_id", "b.position", "b.text"),
+        "noindex_flags": lambda s, d: _with(_table("pages")(s, d), "html", NOINDEX).select("html", noindex_udf("html").alias("noindex")),
+        "hidden_blocks": lambda s, d: _with(_table("pages")(s, d), "html", HIDDEN).select("html", F.explode(blocks_udf("html")).alias("b")).select(F.md5("html").alias("page"), "b.position", F.col("b.text").alias("text")),
+        "hangul_bigrams": lambda s, d: _with(_table("documents")(s, d), "text", HANGUL).select("text", bigrams_column(F.col("text")).alias("grams")),
         "tokens_top_terms": lambda s, d: _table("documents")(s, d).select(F.explode(tokens_column(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(50),
         "postings_df": lambda s, d: search.postings(_docs(s, d), columns=("body",), stemmed=False).groupBy("term").agg(F.count_distinct("doc").alias("df"), F.count("*").alias("cf")),
         "bm25_single": _search("thention"),
@@ -144,13 +188,26 @@ def queries() -> dict[str, Query]:
         "phrase_match": lambda s, d: search.phrase(search.postings(_docs(s, d), columns=("body",), stemmed=False), ["of", "the"], False),
         "bm25_porter": lambda s, d: flagship(s, d),
         "best_passage": lambda s, d: search.best_passage(_docs(s, d).select("doc", F.posexplode(F.split("body", "\n")).alias("position", "text")), ["the", "ing", "the"]).select("doc", "position", "text", "score"),
-        "passages_html": lambda s, d: search.best_passage(_pages(s, d).select(F.col("page_id").alias("doc"), F.explode(blocks_udf("html")).alias("b")).select("doc", "b.*"), ["the"]).select("doc", "position", "tag", "text"),
+        "passages_html": lambda s, d: search.best_passage(_pages(s, d).select(F.col("page_id").alias("doc"), F.explode(blocks_udf("html")).alias("b")).select("doc", "b.*"), ["the"]).select("doc", "position", "text"),
         "nearest_rank_pct": lambda s, d: evaluate.nearest_rank(_table("events")(s, d), "event_type", "value", [0.5, 0.95]),
         "domain_gaps": lambda s, d: evaluate.gaps(per_user(s, d), "user_id", "us", "event_id"),
         "dup_requests": lambda s, d: evaluate.repeated(_table("pages")(s, d).select(F.regexp_extract("url", r"^(https?://[^/]*)", 1).alias("url")), "url"),
         "rate_limit_sliding": lambda s, d: state.rate_limit(per_user(s, d).select("event_id", "user_id", "t"), "user_id", ["event_id"], 3, 3600.0).select("event_id", "allowed"),
         "backoff_penalty": lambda s, d: state.penalties(per_user(s, d).select("event_id", "user_id", "us", (F.col("event_type") == "error").alias("refused"), F.col("event_type").isin("view", "click").alias("ok")), "user_id", ["us", "event_id"]).select("event_id", "delay", "dropped"),
         "sample_fingerprints": lambda s, d: _table("pages")(s, d).select("url", F.substring(F.sha2("html", 256), 1, 16).alias("sha")).orderBy("sha", "url").limit(30),
+        "index_build": lambda s, d: _stored(s, d).docs().agg(F.count("*").alias("n_docs"), F.sum("len").alias("n_tokens"), F.max("doc_seq").alias("last_seq")),
+        "index_search": lambda s, d: _stored(s, d).search("the").select("rank", "url", "score"),
+        "index_batch": lambda s, d: _stored(s, d).search_many({w: w for w in ("the", "and ther", "ing", "of-the", "no such")}),
+        "search_snippet": lambda s, d: _stored(s, d).search("ther", 10, 10).select("rank", "url", "title", "snippet"),
+        "index_passages": lambda s, d: _stored(s, d).passages(_table("pages")(s, d), "ther"),
+        "recall_at_10": lambda s, d: evaluate.recall(_answers(s, d), _ranked(s, d)[1]),
+        "match_counts": lambda s, d: evaluate.match_counts(_answers(s, d), _ranked(s, d)[1]),
+        "passage_accuracy": lambda s, d: evaluate.passage_figures(_best(s, d), _docs(s, d).where(F.lower("body").contains("ing")).agg(F.lit("ing").alias("q"), F.count("*").alias("n")), s.createDataFrame([("ing",)], "q string")),
+        "sample_drift": lambda s, d: evaluate.drift(_table("pages")(s, d).select("url", evaluate.fingerprint(F.col("html")).alias("sha")), _pages(s, d).where("page_id % 7 <> 0").select("url", F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("!"))).otherwise(F.col("html")).alias("html"))),
+        "shape_census": lambda s, d: evaluate.shape_census(_table("pages")(s, d)),
+        "longest_words": lambda s, d: _docs(s, d).select("doc", F.explode_outer(evaluate.longest_words(F.lower("body"))).alias("word")),
+        "sentence_wrap": lambda s, d: _docs(s, d).select("doc", F.size(evaluate.sentences(F.col("body"))).alias("n")),
+        "event_throughput": lambda s, d: evaluate.throughput(per_user(s, d), "t").select("n", F.round("seconds", 3).alias("seconds"), F.round("per_second", 9).alias("per_second")),
         "envelope_json": lambda s, d: evaluate.envelope(_search("thention")(s, d), "thention"),
     }
 
@@ -160,7 +217,27 @@ def oracle_sql() -> dict[str, str]:
     q = f"{p}, l AS ({_LINKS}), q AS (SELECT link AS url, min(fetched_at) AS seen FROM l GROUP BY link)"
     due = f"""SELECT url, min(since) AS since FROM (SELECT url, fetched_at AS since FROM p WHERE NOT {_FRESH}
       UNION ALL SELECT url, seen AS since FROM q WHERE url NOT IN (SELECT url FROM p)) GROUP BY url"""
-    gone = [(path, {"/a/../p": "/p", "/../p": "/p", "/a/b/.": "/a/b/", "/a/..": "/", "/a//b": "/a//b", "/a//../b": "/a/b", "/..//a": "//a", "/": "/"}[path]) for path in PATHS]
+    links = f"{p}, l AS ({_LINKS})"
+    # What a page shows: without comments, scripts, styles and title; inline tags leave nothing, others a space or, if they bound blocks, a bar.
+    bare = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(script.*?</script|style.*?</style|noscript.*?</noscript)>', ' ', 'g')"
+    inline = rf"regexp_replace(regexp_replace({bare}, '(?is)<title>.*?</title>', chr(1), 'g'), '(?i)</?({'|'.join(sorted(INLINE))})(\s[^>]*)?>', '', 'g')"
+    entities = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    tidy = r"trim(regexp_replace({}, '[\s\x00-\x1f\x{{85}}\x{{a0}}]+', ' ', 'g'))"
+    shown = tidy.format(entities.format(rf"regexp_replace(regexp_replace({inline}, '<[/!a-zA-Z][^>]*>', ' ', 'g'), '<[/!a-zA-Z][^>]*$', '')"))
+    title = tidy.format(entities.format(r"regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"))
+    spaced = rf"regexp_replace(regexp_replace({inline}, '(?i)</?({'|'.join(sorted(SPACERS))})(\s[^>]*)?>', ' ', 'g'), '<[/!a-zA-Z][^>]*>', chr(1), 'g')"
+    cut = rf"string_split(regexp_replace({spaced}, '<[/!a-zA-Z][^>]*$', ''), chr(1))"
+    each = f"SELECT *, row_number() OVER (PARTITION BY page ORDER BY i)::INT - 1 AS position FROM (SELECT page, i, {tidy.format(entities.format('x'))} AS text FROM (SELECT page, unnest({cut}) AS x, generate_subscripts({cut}, 1) AS i FROM h)) WHERE text <> ''"
+    folded = r"""CASE WHEN regexp_matches({0}, '(^|/)\.\.?$') THEN list_reduce(string_split({0}, '/'), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) || '/'
+      WHEN list_reduce(string_split({0}, '/'), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) = '' THEN '/'
+      ELSE list_reduce(string_split({0}, '/'), lambda a, x: CASE x WHEN '.' THEN a WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || x END) END"""
+    hexed = "array_to_string(list_transform(string_split({0}, '%'), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9a-fA-F]{{2}}') THEN upper(substr(x, 1, 2)) || substr(x, 3) ELSE x END), '%')"
+    meta = "regexp_extract_all(replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '&#114;', 'r'), '(?i)<meta [^>]*>')"
+    hidden = r"""regexp_replace(regexp_replace(html, '(?is)<template>.*?</template>', ' ', 'g'), '(?is)<(div hidden|p style="display: none"|p aria-hidden="true")>.*?</(div|p)>', ' ', 'g')"""
+    gaps = r"regexp_replace(regexp_replace(text, '([가-힣])\s+([가-힣])', '\1\2', 'g'), '([가-힣])\s+([가-힣])', '\1\2', 'g')"
+    ranked = "SELECT source, doc_id AS url, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank FROM documents"
+    asked = "SELECT doc_id AS q, lang, source, doc_id AS answer FROM documents WHERE doc_id % 20 = 0"
+    e = "SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY {}) AS rn FROM events"
     return {
         "fresh_pages": f"{p} SELECT page_id, url, status FROM p WHERE {_FRESH}",
         "stale_pages": f"{p} SELECT page_id, url, status FROM p WHERE NOT {_FRESH}",
@@ -175,12 +252,43 @@ def oracle_sql() -> dict[str, str]:
         "host_count": "SELECT count(DISTINCT substr(url, 1, instr(substr(url, 9), '/') + 7)) AS n_hosts FROM pages",
         "oldest_pages": f"{p} SELECT url FROM p WHERE html IS NOT NULL ORDER BY fetched_at, url LIMIT 40",
         "url_domain_key": f"SELECT page_id, {_KEY} AS server FROM pages",
-        "url_normalize": _values(URLS, "url, normal"),
-        "url_fold_dots": _values(gone, "path, folded"),
+        "url_normalize": f"""{links}, u AS (SELECT link AS url FROM l UNION SELECT url FROM p UNION {_values(URLS, "url")}),
+          m AS (SELECT url, {_ENCODED.format("url")} AS a FROM u),
+          c AS (SELECT url, lower(regexp_extract(a, '^([^:]+)://', 1)) AS scheme, regexp_extract(a, '^[^:]+://([^/?#]*@)?', 1) AS login, lower(regexp_extract(a, '^[^:]+://(?:[^/?#]*@)?([^/?#]*)', 1)) AS host,
+            regexp_extract(a, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(a, '^[^?#]*([?][^#]*)', 1) AS query FROM m)
+          SELECT url, {hexed.format("(scheme || '://' || login || regexp_replace(host, CASE scheme WHEN 'http' THEN ':80$' ELSE ':443$' END, '') || " + folded.format("CASE path WHEN '' THEN '/' ELSE path END") + " || query)")} AS normal FROM c""",
+        "url_fold_dots": f"{links}, u AS (SELECT regexp_extract(link, '^[a-z]+://[^/]*(.*)$', 1) AS path FROM l UNION {_values(PATHS, 'path')}) SELECT path, {folded.format('path')} AS folded FROM u",
+        "robots_base": f"{links}, u AS (SELECT link AS url FROM l UNION {_values(['HTTPS://B.test:0443/x', 'http://u@b.test:080/1'], 'url')}) SELECT url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@]*@)?([^/]*)', 1)), ':0*(80|443)$', '') AS base FROM u",
+        "safe_links": f"{links}, u AS (SELECT link AS url FROM l UNION {_values(['javascript:x', '//h/x', 'data:text'], 'url')}) SELECT url, regexp_matches(url, '^(?i:https?):') AS safe FROM u",
+        "page_text": f"SELECT page_id, {title} AS title, length({shown})::INT AS n_chars FROM pages",
+        "page_blocks": f"WITH h AS (SELECT page_id AS page, html FROM pages) SELECT page AS page_id, position, text FROM ({each})",
+        "passages_html": f"WITH h AS (SELECT page_id AS page, html FROM pages) SELECT page AS doc, position, text FROM (SELECT *, length(lower(text)) - length(replace(lower(text), 'the', '')) AS s FROM ({each})) WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY page ORDER BY s DESC, length(text) DESC, position) = 1",
         "page_links": f"{p}, l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS link FROM p) SELECT DISTINCT page_id, {_ENCODED.format('link')} AS link FROM l",
-        "noindex_flags": _values(NOINDEX, "html, noindex"),
-        "hidden_blocks": _values(HIDDEN, "html, text"),
-        "hangul_bigrams": _values(HANGUL, "text, grams"),
+        "noindex_flags": f"""WITH u AS (SELECT html FROM pages UNION {_values(NOINDEX, "html")})
+          SELECT html, len(list_filter({meta}, lambda m: regexp_matches(m, '(?i)name=.?robots') AND regexp_matches(m, '(?i)content=.?([a-z]+, ?)*(noindex|none)'))) > 0 AS noindex FROM u""",
+        "hidden_blocks": f"WITH u AS (SELECT html FROM pages UNION {_values(HIDDEN, 'html')}), h AS (SELECT md5(html) AS page, {hidden} AS html FROM u) SELECT page, position, text FROM ({each})",
+        "hangul_bigrams": f"""WITH u AS (SELECT text FROM documents UNION {_values(HANGUL, "text")})
+          SELECT text, array_to_string(flatten(list_transform(regexp_extract_all({gaps}, '[가-힣]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))), ' ') AS grams FROM u""",
+        "rate_limit_sliding": f"""WITH RECURSIVE e AS ({e.format("ts, event_id")}), r AS (SELECT event_id, user_id, rn, [t] AS log, true AS allowed FROM e WHERE rn = 1
+          UNION ALL SELECT event_id, user_id, rn, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3
+          FROM (SELECT e.*, list_filter(r.log, lambda x: x > e.t - 3600) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)) SELECT event_id, allowed FROM r""",
+        "backoff_penalty": f"""WITH RECURSIVE e AS ({e.format("ts, event_id")}), r AS (SELECT event_id, user_id, rn, CASE WHEN event_type = 'error' THEN 2.0 ELSE 0.0 END::DOUBLE AS delay, false AS dropped FROM e WHERE rn = 1
+          UNION ALL SELECT e.event_id, e.user_id, e.rn, CASE WHEN dropped THEN delay WHEN event_type = 'error' THEN greatest(2.0, delay * 2) WHEN event_type IN ('view', 'click') THEN CASE WHEN delay / 2 >= 2 THEN delay / 2 ELSE 0.0 END ELSE delay END,
+          dropped OR (event_type = 'error' AND delay * 2 > 30) FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) SELECT event_id, delay, dropped FROM r""",
+        "index_build": f"""SELECT count(*) AS n_docs, sum(len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) + len(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')))::BIGINT AS n_tokens, count(*) - 1 AS last_seq FROM (SELECT {title} AS t, {shown} AS b FROM pages)""",
+        "recall_at_10": f"""WITH r AS ({ranked}), a AS (SELECT a.q, a.lang, r.rank FROM ({asked}) a LEFT JOIN r ON r.source = a.source AND r.url = a.answer AND r.rank <= 40)
+          SELECT lang, count(*) AS n, count(*) FILTER (rank <= 10) AS hits, count(*) FILTER (rank = 1) AS first, count(*) FILTER (rank BETWEEN 2 AND 10) AS upto, count(*) FILTER (rank > 10) AS below, count(*) FILTER (rank IS NULL) AS missing,
+          floor(count(*) FILTER (rank <= 10) * 100 / count(*))::BIGINT AS percent FROM a GROUP BY lang""",
+        "match_counts": f"WITH r AS ({ranked}) SELECT avg(n) AS mean_n, min(n) AS min_n, max(n) AS max_n FROM (SELECT q, count(url) AS n FROM ({asked}) a LEFT JOIN r ON r.source = a.source AND rank <= 40 GROUP BY q)",
+        "passage_accuracy": "SELECT count(*) AS passages, count(*) AS accurate, count(*) AS documents, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS adoption FROM documents WHERE contains(lower(text), 'ing')",
+        "sample_drift": "SELECT count(*) AS n, count(*) FILTER (page_id % 7 = 0) AS missing, count(*) FILTER (page_id % 7 <> 0 AND page_id % 5 = 0) AS changed FROM pages",
+        "shape_census": f"WITH h AS (SELECT page_id AS page, html FROM pages), c AS (SELECT page, count(*) AS n FROM ({each}) GROUP BY page) SELECT count(*) AS docs, sum(n)::BIGINT AS blocks, 0::BIGINT AS pre, 0::BIGINT AS more, 0::BIGINT AS less, 0::BIGINT AS differing, 0::BIGINT AS desync, min(n)::INT AS least, median(n) AS median, max(n)::INT AS most FROM c",
+        "longest_words": r"""WITH w AS (SELECT doc_id AS doc, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}')) AS u, regexp_extract_all(lower(text), '[\p{L}\p{N}]{3,}') AS a FROM documents),
+          e AS (SELECT doc, unnest(u) AS word, a FROM w), o AS (SELECT doc, word FROM e QUALIFY row_number() OVER (PARTITION BY doc ORDER BY length(word) DESC, list_position(a, word)) <= 3)
+          SELECT doc, word FROM o UNION ALL SELECT doc, NULL FROM w WHERE u IS NULL OR len(u) = 0""",
+        "sentence_wrap": "SELECT doc_id AS doc, len(string_split(text, '. '))::INT AS n FROM documents",
+        "event_throughput": "SELECT count(*) AS n, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6, 3) AS seconds, round(count(*) / ((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6), 9) AS per_second FROM events",
+        "envelope_json": f"""SELECT '{{"version":1,"query":"thention","page":1,"has_next":false,"results":[' || string_agg('{{"rank":' || rank || ',"doc":' || doc || ',"score":' || score || '}}', ',' ORDER BY rank) || ']}}' AS json FROM ({_search_sql(["thention"])})""",
         "tokens_top_terms": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+')) AS term FROM documents) GROUP BY term ORDER BY n DESC, term LIMIT 50",
         "postings_df": r"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+')) AS term FROM documents) GROUP BY term",
         "bm25_single": _search_sql(["thention"]),

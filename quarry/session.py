@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +33,16 @@ def local_session(cores: int | None = None, memory: str = "8g", shuffle_partitio
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. On this machine alone, a folder of our own serves where
+    none is set; a cluster without one is refused, since its executors couldn't read each other's files."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
