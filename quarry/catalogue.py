@@ -59,12 +59,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search(text: str, limit: int = 10, offset: int = 0) -> Query:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = _docs(spark, d)
-        found = search.postings(docs, columns=("title", "body"), stemmed=False)
-        return search.search(found, search.statistics(found, docs.count()), text, limit, offset)
-
-    return run
+    return lambda spark, d: search.scan(_docs(spark, d), text, limit, offset)
 
 
 def _search_sql(terms: list[str], limit: int = 10, offset: int = 0) -> str:
@@ -181,11 +176,11 @@ def queries() -> dict[str, Query]:
         "hidden_blocks": lambda s, d: _with(_table("pages")(s, d), "html", HIDDEN).select("html", F.explode(blocks_udf("html")).alias("b")).select(F.md5("html").alias("page"), "b.position", F.col("b.text").alias("text")),
         "hangul_bigrams": lambda s, d: _with(_table("documents")(s, d), "text", HANGUL).select("text", bigrams_column(F.col("text")).alias("grams")),
         "tokens_top_terms": lambda s, d: _table("documents")(s, d).select(F.explode(tokens_column(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "term").limit(50),
-        "postings_df": lambda s, d: search.postings(_docs(s, d), columns=("body",), stemmed=False).groupBy("term").agg(F.count_distinct("doc").alias("df"), F.count("*").alias("cf")),
+        "postings_df": lambda s, d: search.frequencies(_docs(s, d), "body"),
         "bm25_single": _search("thention"),
         "bm25_and": _search("the and ther"),
         "bm25_paged": _search("ing", 10, 20),
-        "phrase_match": lambda s, d: search.phrase(search.postings(_docs(s, d), columns=("body",), stemmed=False), ["of", "the"], False),
+        "phrase_match": lambda s, d: search.adjacent(_docs(s, d), ["of", "the"]),
         "bm25_porter": lambda s, d: flagship(s, d),
         "best_passage": lambda s, d: search.best_passage(_docs(s, d).select("doc", F.posexplode(F.split("body", "\n")).alias("position", "text")), ["the", "ing", "the"]).select("doc", "position", "text", "score"),
         "passages_html": lambda s, d: search.best_passage(_pages(s, d).select(F.col("page_id").alias("doc"), F.explode(blocks_udf("html")).alias("b")).select("doc", "b.*"), ["the"]).select("doc", "position", "text"),

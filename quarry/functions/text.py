@@ -110,12 +110,12 @@ def term_udf(token: pd.Series) -> pd.Series:
     return token.map(lambda t: term(t) if t is not None else None)
 
 
-_TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
+TOKEN = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
 
 
 def tokens(text: str) -> list[str]:
     """The terms of a text: lower-cased tokens, folded and stemmed."""
-    return [term(t) for t in _TOKEN.findall(text.lower())]
+    return [term(t) for t in TOKEN.findall(text.lower())]
 
 
 @lru_cache(1 << 17)
@@ -139,7 +139,7 @@ def snippet(text: str, wanted: list[tuple[list[str], bool]], size: int = 20) ->
     wanted: phrases as (terms, whether the last is a prefix). The window is the first of those with most different
     phrases; what is cut off on either side shows as an ellipsis. Without a match it is the beginning.
     """
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+    spans = [m.span() for m in TOKEN.finditer(text)]
     terms = [term(text[a:b].lower()) for a, b in spans]
     hits: list[tuple[int, int]] = []
     for p, (phrase, prefix) in enumerate(wanted):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import bigrams, bigrams_column, query_terms, term_udf, tokens_column
+from quarry.functions.text import TOKEN, bigrams, bigrams_column, cleaned, query_terms, term_udf, tokens_column
 
 COLUMNS = ("title", "body", "title_ng", "body_ng")
 
@@ -69,6 +69,38 @@ def search(found: DataFrame, stats: tuple[DataFrame, int, float], query: str, li
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), key)) + offset).select("rank", key, "score")
 
 
+def scan(docs: DataFrame, query: str, limit: int = 10, offset: int = 0, key: str = "doc", columns: tuple[str, ...] = ("title", "body")) -> DataFrame:
+    """rank, key, score over documents that have no index, unstemmed: each text is read where it lies, and what is
+    shuffled is a row of totals and the best rows of each task. The words of the query are prefixes."""
+    terms = [w for word in cleaned(query).lower().split() for w in TOKEN.findall(word)[:1]]
+    if not terms:
+        return docs.select(F.lit(0).alias("rank"), key, F.lit(0.0).alias("score")).limit(0)
+    split = docs.select(key, F.concat(*[tokens_column(F.coalesce(c, F.lit(""))) for c in columns]).alias("ts"))
+    begins = lambda t: lambda x: x.startswith(t)
+    each = split.select(key, F.size("ts").alias("len"), *[F.size(F.filter("ts", begins(t))).alias(f"f{i}") for i, t in enumerate(terms)])
+    n = range(len(terms))
+    totals = each.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in n])
+    hit = each.where(reduce(lambda a, b: a & b, [F.col(f"f{i}") > 0 for i in n])).join(F.broadcast(totals))  # a single row
+    score = sum((bm25(F.col(f"f{i}"), F.col("n"), F.col(f"df{i}"), F.col("len"), F.col("mean")) for i in n), F.lit(0.0))
+    top = hit.select(key, F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), key).offset(offset).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), key)) + offset).select("rank", key, "score")
+
+
+def frequencies(docs: DataFrame, column: str) -> DataFrame:
+    """term, df and cf: in how many rows a term is, and how often. Both are counts by term alone, so tasks add up first."""
+    split = docs.select(tokens_column(F.col(column)).alias("ts"))
+    once = split.select(F.explode(F.array_distinct("ts")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
+    each = split.select(F.explode("ts").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
+    return once.union(each).groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+
+
+def adjacent(docs: DataFrame, terms: list[str], key: str = "doc", column: str = "body") -> DataFrame:
+    """key, f: how often the terms stand side by side in a text, for documents that have no index."""
+    split = docs.select(key, tokens_column(F.col(column)).alias("ts"))
+    same = lambda x, i: reduce(lambda a, b: a & b, [x == terms[0], *[F.get("ts", i + k) == t for k, t in enumerate(terms[1:], 1)]])
+    return split.select(key, F.size(F.filter("ts", same)).cast("long").alias("f")).where("f > 0")
+
+
 def needles(query: str) -> list[str]:
     clean = "".join(c for c in query.lower() if ord(c) >= 32 and not 127 <= ord(c) < 160)
     return [n for t in clean.split() for n in [t, *bigrams(t).split()]]
