@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -31,29 +30,33 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. One of our own, on this machine, only where the session names
+    none and runs on this machine alone; a cluster without one is refused, since rows would be lost."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, cut off from its lineage: written to the shared folder and read again."""
+    """df, cut off from its lineage: written to the shared folder and read again; removed when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    if path.startswith("file://") or path.startswith("/"):
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(schema).parquet(path)
 
 
-def local_path(path: str) -> str:
-    """A path that Python's open() takes."""
-    return os.fspath(path).removeprefix("file://")
+def local_path(path: str) -> str | None:
+    """A path that Python's open() takes; None for a file system that it doesn't know."""
+    bare = path.removeprefix("file://").removeprefix("file:")
+    return bare if bare.startswith("/") else None
 
 
 def computed(df: DataFrame) -> DataFrame:

@@ -25,6 +25,9 @@ BOILERPLATE = (
     r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|accept (?:all )?cookies"
     r"|powered by|click here|read more|subscribe (?:to|now)|sign (?:up|in) (?:to|for|now)|javascript (?:is|must be)"
     r"|licensed under|released under|copyright (?:\(c\)|©|[0-9]{4})|skip to (?:main )?content|lorem ipsum"
+    r"|alle rechte vorbehalten|datenschutzerkl|nutzungsbedingungen|cookies (?:akzeptieren|zulassen)|hier klicken|weiterlesen"
+    r"|tous droits r.serv.s|politique de confidentialit|mentions l.gales|accepter (?:les )?cookies|cliquez ici|lire la suite"
+    r"|todos los derechos reservados|pol.tica de privacidad|aviso legal|aceptar (?:las )?cookies|haga clic aqu|leer m.s"
 )
 
 

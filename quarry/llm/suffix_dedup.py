@@ -306,7 +306,7 @@ def suffix_sort(text: np.ndarray, depth: int, scratch: str | None = None, memory
 def repeated_starts(parts: list[bytes], length: int, scratch: str | None = None) -> np.ndarray:
     """Which places of the parts, one after the other with a separator after each, start a string that starts elsewhere too."""
     text = np.concatenate([x for p in parts for x in (np.frombuffer(p, np.uint8).astype(np.uint16) + 2, np.ones(1, np.uint16))] + [np.zeros(1, np.uint16)])
-    order, lcp = suffix_sort(text, length, scratch)
+    order, lcp = suffix_sort(text, length, scratch, MEMORY if scratch else 1 << 62)
     again = lcp >= length
     found = np.zeros(len(text), bool)
     found[order[again]] = True
@@ -350,7 +350,7 @@ def _bytes_of_runs(wanted: DataFrame, length: int) -> DataFrame:
     return wanted.mapInArrow(run, "anchor long, doc_id long, th long, start long, open boolean, bytes binary, rest long")
 
 
-def _sorted_shards(rows: DataFrame, length: int, scratch: str, shard: int = SHARD) -> DataFrame:
+def _sorted_shards(rows: DataFrame, length: int, scratch: str | None, shard: int = SHARD) -> DataFrame:
     """doc_id, th, start, stop: the byte ranges that the suffix sort finds, for open runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +358,8 @@ def _sorted_shards(rows: DataFrame, length: int, scratch: str, shard: int = SHAR
         size = 0
 
         def flush() -> pa.RecordBatch:
-            os.makedirs(scratch, exist_ok=True)
+            if scratch:
+                os.makedirs(scratch, exist_ok=True)
             found = repeated_starts([r[4] for r in held], length, scratch)
             cols: list[list] = [[] for _ in range(4)]
             at = 0
@@ -422,7 +423,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, hot: int = SHARD) -> D
     runs_of = unsettled.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))  # bounded by the document's length
     source = docs.select("doc_id", "text", text_hash(F.col("text")).cast("long").alias("th"))
     wanted = source.join(runs_of, source["doc_id"].eqNullSafe(runs_of["doc_id"]) & (source["th"] == runs_of["th"])).select(source["doc_id"], source["th"], "text", "runs")
-    found = _sorted_shards(_bytes_of_runs(wanted, length), length, local_path(shared_dir(spark)) + "/quarry-queues")
+    folder = local_path(shared_dir(spark))  # elsewhere the queues' blocks stay in memory, which SHARD bounds
+    found = _sorted_shards(_bytes_of_runs(wanted, length), length, folder and folder + "/quarry-queues")
     return whole.union(found).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
