@@ -32,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": minhash.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_topk_search": topk_search.ORACLE}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_minhash": minhash.ORACLE, "op3_quality_rules": quality_rules.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_topk_search": topk_search.ORACLE}

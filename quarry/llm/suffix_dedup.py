@@ -458,3 +458,20 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, hot: int = SHARD) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: Every string of 400 bytes, as hexadecimal digits, is counted by its MD5; what repeats is merged to spans.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT rid, unnest(range(0, (length(h) - 800) // 8192 + 1)) AS c, h FROM d WHERE length(h) >= 800),
+p AS (SELECT rid, c * 4096 AS o, substr(h, c * 8192 + 1, 8192 + 798) AS part FROM b),
+s AS (SELECT rid, o + i AS i, md5_number(substr(part, 2 * i + 1, 800)) AS k FROM (SELECT rid, o, part, unnest(range(0, (length(part) - 800) // 2 + 1)) AS i FROM p)),
+r AS (SELECT rid, i FROM s QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM r)),
+x AS (SELECT rid, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY rid, g),
+y AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM x),
+z AS (SELECT rid, sum(b - a) AS gone, count(*) AS n, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM y JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(CASE WHEN z.rid IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN z USING (rid)
+"""
