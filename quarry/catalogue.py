@@ -18,7 +18,7 @@ from quarry.operators.index import SearchIndex
 from quarry.serve import is_safe_href
 from quarry.session import scratch
 from quarry.sources import warehouse
-from quarry.streaming import state
+from quarry.streaming import crawl, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 def now() -> Column:
@@ -122,6 +122,35 @@ def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return each, asked
 
 
+KOREAN = [
+    ("k1", "올레 길 안내", "걷는 길"), ("k2", "올레길 지도", "바다를 본다"), ("k3", "김치찌개보관법", "냉장고에 둔다"), ("k4", "김치", "배추를 절인다 python"), ("k5", "notes", "오늘 올레 시장 길"),
+]
+
+
+def _korean(s: SparkSession, d: str) -> DataFrame:
+    index = SearchIndex(s, f"{scratch(s)}/korean-{uuid.uuid4().hex}")
+    pages = s.createDataFrame(KOREAN, "url string, title string, body string")
+    index.build(pages.select("url", F.format_string("<title>%s</title><p>%s</p>", "title", "body").alias("html"), F.lit(200).alias("status"), now().alias("fetched_at")))
+    hits = index.search_many({w: w for w in ("올레길", "보관법", "python 김치")})
+    return hits.join(F.broadcast(index.docs().select("doc_seq", "url")), "doc_seq").select("q", "url")  # five documents
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    """Every fourth page fetched again: some moved to a place of their own, some to the page before."""
+    p = _pages(s, d)
+    before = p.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("before"))
+    final = F.when(F.col("page_id") % 8 == 5, F.concat(F.lit("HTTP://moved.test:80/"), "page_id")).when(F.col("page_id") % 16 == 9, F.col("before")).otherwise(F.col("url"))
+    return p.where("page_id % 4 = 1").join(before, "page_id", "left").select("url", "status", "html", final.alias("final_url"))
+
+
+def _servers_after(s: SparkSession, d: str) -> DataFrame:
+    users = _table("events")(s, d).select(F.col("user_id").alias("u")).distinct()
+    name = F.concat(F.lit("s"), "u").alias("server")
+    known = users.where("u % 5 <> 0").select(name, F.lit(100.0).alias("last"), (F.col("u") % 5 * 1.0).alias("declared"), (F.col("u") % 4 * 6.0).alias("delay"), (F.col("u") % 11 == 0).alias("dropped"))
+    came = users.where("u % 2 = 0").select(name, (F.col("u") + 90.0).alias("sent"), F.expr("CASE u % 3 WHEN 0 THEN 429 WHEN 1 THEN 200 END").alias("status"), F.expr("CASE WHEN u % 7 = 0 THEN 40.0D WHEN u % 7 < 4 THEN u % 7 * 2.5D END").alias("asked"))
+    return crawl.after(known, came)
+
+
 def _answers(s: SparkSession, d: str) -> DataFrame:
     """q, url and rank of the documents that answer each query of _ranked."""
     each, asked = _ranked(s, d)
@@ -195,6 +224,10 @@ def queries() -> dict[str, Query]:
         "index_batch": lambda s, d: _stored(s, d).search_many({w: w for w in ("the", "and ther", "ing", "of-the", "no such")}),
         "search_snippet": lambda s, d: _stored(s, d).search("ther", 10, 10).select("rank", "url", "title", "snippet"),
         "index_passages": lambda s, d: _stored(s, d).passages(_table("pages")(s, d), "ther"),
+        "hangul_search": _korean,
+        "store_results": lambda s, d: crawl.to_store(_results(s, d), _pages(s, d).where("page_id % 3 <> 0"), now()).select("url", "status", F.md5("html").alias("page")),
+        "servers_after": _servers_after,
+        "links_accepted": lambda s, d: crawl.accepted(crawl.links_of(_pages(s, d)), _pages(s, d).where("page_id % 9 = 0").select(domain_key_column(F.col("url")).alias("server"), F.lit(True).alias("dropped")), _pages(s, d).where("page_id % 2 = 0").select(domain_key_column(F.col("url")).alias("server")).distinct()).select("url"),
         "recall_at_10": lambda s, d: evaluate.recall(_answers(s, d), _ranked(s, d)[1]),
         "match_counts": lambda s, d: evaluate.match_counts(_answers(s, d), _ranked(s, d)[1]),
         "passage_accuracy": lambda s, d: evaluate.passage_figures(_best(s, d), _docs(s, d).where(F.lower("body").contains("ing")).agg(F.lit("ing").alias("q"), F.count("*").alias("n")), s.createDataFrame([("ing",)], "q string")),
@@ -271,6 +304,20 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT e.event_id, e.user_id, e.rn, CASE WHEN dropped THEN delay WHEN event_type = 'error' THEN greatest(2.0, delay * 2) WHEN event_type IN ('view', 'click') THEN CASE WHEN delay / 2 >= 2 THEN delay / 2 ELSE 0.0 END ELSE delay END,
           dropped OR (event_type = 'error' AND delay * 2 > 30) FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) SELECT event_id, delay, dropped FROM r""",
         "index_build": f"""SELECT count(*) AS n_docs, sum(len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) + len(regexp_extract_all(b, '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')))::BIGINT AS n_tokens, count(*) - 1 AS last_seq FROM (SELECT {title} AS t, {shown} AS b FROM pages)""",
+        "hangul_search": f"""WITH k(url, title, body) AS (VALUES {', '.join(str(r) for r in KOREAN)}),
+          g AS (SELECT url, {gaps.replace("text", "title")} AS t, {gaps.replace("text", "body")} AS b FROM k)
+          SELECT q, url FROM g, (VALUES ('올레길', '올레길', ''), ('보관법', '보관법', ''), ('python 김치', '김치', 'python')) v(q, one, two)
+          WHERE (contains(t, one) OR contains(b, one)) AND (contains(t, two) OR contains(b, two))""",
+        "store_results": f"""{p}, r AS (SELECT a.url, a.status, a.html, CASE WHEN a.page_id % 8 = 5 THEN 'http://moved.test/' || a.page_id ELSE regexp_replace(CASE WHEN a.page_id % 16 = 9 THEN b.url ELSE a.url END, '#.*$', '') END AS target FROM p a LEFT JOIN p b ON b.page_id = a.page_id - 1 WHERE a.page_id % 4 = 1),
+          t AS (SELECT * FROM r WHERE status <> 429 AND (target = url OR target NOT IN (SELECT url FROM p WHERE page_id % 3 <> 0 AND {_FRESH})))
+          SELECT target AS url, status, md5(html) AS page FROM t QUALIFY row_number() OVER (PARTITION BY target ORDER BY html IS NOT NULL DESC, url DESC) = 1""",
+        "servers_after": """WITH u AS (SELECT DISTINCT user_id AS u FROM events),
+          x AS (SELECT 's' || u AS server, CASE WHEN u % 5 <> 0 THEN 100.0 END AS last, CASE WHEN u % 5 <> 0 THEN u % 5 * 1.0 END AS declared, CASE WHEN u % 5 <> 0 THEN u % 4 * 6.0 ELSE 0.0 END AS delay, u % 5 <> 0 AND u % 11 = 0 AS dropped,
+            CASE WHEN u % 2 = 0 THEN u + 90.0 END AS sent, CASE WHEN u % 2 = 0 AND u % 3 = 0 THEN 429 WHEN u % 2 = 0 AND u % 3 = 1 THEN 200 END AS status, CASE WHEN u % 2 = 0 AND u % 7 = 0 THEN 40.0 WHEN u % 2 = 0 AND u % 7 < 4 THEN u % 7 * 2.5 END AS asked FROM u WHERE u % 5 <> 0 OR u % 2 = 0),
+          y AS (SELECT *, CASE WHEN status = 429 THEN greatest(2.0, delay * 2) WHEN status IS NOT NULL THEN CASE WHEN delay / 2 >= 2 THEN delay / 2 ELSE 0.0 END ELSE delay END AS after FROM x)
+          SELECT server, greatest(last, sent)::DOUBLE AS last, greatest(coalesce(declared, 1.0), CASE WHEN asked > 30 THEN NULL ELSE asked END)::DOUBLE AS declared, after::DOUBLE AS delay, dropped OR coalesce(asked > 30, false) OR after > 30 AS dropped FROM y""",
+        "links_accepted": f"""{links}, f AS (SELECT DISTINCT link AS url FROM l WHERE page IN (SELECT url FROM p WHERE html IS NOT NULL AND status BETWEEN 200 AND 299))
+          SELECT url FROM f WHERE {_KEY} NOT IN (SELECT {_KEY} FROM p WHERE page_id % 9 = 0) AND {_KEY} IN (SELECT {_KEY} FROM p WHERE page_id % 2 = 0)""",
         "recall_at_10": f"""WITH r AS ({ranked}), a AS (SELECT a.q, a.lang, r.rank FROM ({asked}) a LEFT JOIN r ON r.source = a.source AND r.url = a.answer AND r.rank <= 40)
           SELECT lang, count(*) AS n, count(*) FILTER (rank <= 10) AS hits, count(*) FILTER (rank = 1) AS first, count(*) FILTER (rank BETWEEN 2 AND 10) AS upto, count(*) FILTER (rank > 10) AS below, count(*) FILTER (rank IS NULL) AS missing,
           floor(count(*) FILTER (rank <= 10) * 100 / count(*))::BIGINT AS percent FROM a GROUP BY lang""",
