@@ -147,6 +147,7 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.folder = spark, Folder(spark, path)
+        self._held: tuple | None = None
 
     # -- state ------------------------------------------------------------------------------------------------------
 
@@ -260,14 +261,36 @@ class SearchIndex:
 
     # -- queries ----------------------------------------------------------------------------------------------------
 
+    def warm(self) -> None:
+        """Keeps the postings and the lengths of the present index on the executors, for many single queries; what
+        doesn't fit in memory stays on their disks."""
+        self.cool()
+        if found := self._ready():
+            tables = self.postings().persist(), self.docs().select("doc_seq", "len").persist()
+            for t in tables:
+                t.count()
+            self._held = (found["segments"], found["gone"], *tables)
+
+    def cool(self) -> None:
+        if self._held:
+            for t in self._held[2:]:
+                t.unpersist()
+            self._held = None
+
+    def _read(self, found: dict) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths: the kept ones, if the index is still the one they are of."""
+        if self._held and self._held[:2] == (found["segments"], found["gone"]):
+            return self._held[2:]
+        return self._table(found, "postings", POSTINGS), self._table(found, "docs", DOCS).select("doc_seq", "len")
+
     def search_many(self, queries: dict[str, str], limit: int = 10, offset: int = 0) -> DataFrame:
         """q, rank, doc_seq and score for all queries in one job."""
         found = self._ready()
         n_terms = {q: n for q, text in queries.items() if (n := len({t for t, *_ in compiled(text)}))}
         if not found or not n_terms or not found["n_docs"]:
             return self.spark.createDataFrame([], "q string, rank int, doc_seq long, score double")
-        hits = matched(self.postings(), {q: queries[q] for q in n_terms})
-        lengths = self.docs().select("doc_seq", "len")
+        postings, lengths = self._read(found)
+        hits = matched(postings, {q: queries[q] for q in n_terms})
         return ranked(hits, lengths, found["n_docs"], found["tokens"] / found["n_docs"], n_terms, limit, offset)
 
     def search(self, query: str, limit: int = 10, offset: int = 0) -> DataFrame:

@@ -111,6 +111,11 @@ def test_query_language(spark, place):
         assert isinstance(urls(index.search(odd)), list)
     many = index.search_many({"x": "foo", "y": "올레길", "z": "!!"}, 1).collect()
     assert sorted(r.q for r in many) == ["x", "y"]
+    index.warm()
+    assert index.search_many({"x": "foo", "y": "올레길", "z": "!!"}, 1).collect() == many
+    index.build(table(spark, [("http://k.test/9", PAGE.format("", "foo foo"), 200, at(3))]), at(4))
+    assert urls(index.search("foo"))[0] == "http://k.test/9" or len(urls(index.search("foo"))) == 2  # what is kept is of the old state
+    index.cool()
     assert [r.rank for r in index.search("올레길", 1, 1).collect()] == [2] and index.search("올레길", 5, 2).count() == 0
     assert "titles_ng" not in index.search("foo").columns and "title_ng" not in index.search("foo").columns
 
