@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -16,7 +15,7 @@ from quarry.functions.urls import domain_key_column, fold_dots_column, normalize
 from quarry.operators import evaluate, search
 from quarry.operators.index import SearchIndex
 from quarry.serve import is_safe_href
-from quarry.session import scratch
+from quarry.session import scratch_folder
 from quarry.sources import warehouse
 from quarry.streaming import crawl, state
 
@@ -106,7 +105,7 @@ def _links(s: SparkSession, d: str) -> DataFrame:
 
 def _stored(spark: SparkSession, d: str) -> SearchIndex:
     """An index of the pages, made in two runs: one half, then all."""
-    index = SearchIndex(spark, f"{scratch(spark)}/index-{uuid.uuid4().hex}")
+    index = SearchIndex(spark, scratch_folder(spark, "index"))
     p = _pages(spark, d).withColumn("status", F.lit(200))
     index.build(p.where("page_id % 2 = 0"), datetime(2024, 2, 2, tzinfo=timezone.utc))
     index.build(p, datetime(2024, 2, 3, tzinfo=timezone.utc))
@@ -128,7 +127,7 @@ KOREAN = [
 
 
 def _korean(s: SparkSession, d: str) -> DataFrame:
-    index = SearchIndex(s, f"{scratch(s)}/korean-{uuid.uuid4().hex}")
+    index = SearchIndex(s, scratch_folder(s, "korean"))
     pages = s.createDataFrame(KOREAN, "url string, title string, body string")
     index.build(pages.select("url", F.format_string("<title>%s</title><p>%s</p>", "title", "body").alias("html"), F.lit(200).alias("status"), now().alias("fetched_at")))
     hits = index.search_many({w: w for w in ("올레길", "보관법", "python 김치")})

@@ -79,6 +79,11 @@ def postings_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_seq", *COLUMNS).mapInArrow(run, POSTINGS)
 
 
+def _local(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A few rows as part of the plan itself: no job is needed to broadcast them."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(columns.items())}))
+
+
 def compiled(query: str) -> list[tuple[int, list[str], bool, list[int] | None]]:
     """The phrases of a query: (term number, tokens, whether the last is a prefix, columns or None for all).
 
@@ -106,13 +111,14 @@ def matched(postings: DataFrame, queries: dict[str, str], key: str = "doc_seq")
                 elements.append((q, t, p, k, len(terms), token, prefix and k == len(terms) - 1, -1 if cols is None else cols[0]))
             p += 1
     spark = postings.sparkSession
-    schema = "q string, t int, p int, k int, n int, token string, prefix boolean, only int"
+    n = pa.int32()
+    kinds = {"q": pa.string(), "t": n, "p": n, "k": n, "n": n, "token": pa.string(), "prefix": pa.bool_(), "only": n}
     each = []
     for width in (0, 1, 2):  # exact tokens, and prefixes by their first one or two characters
         mine = [e for e in elements if (min(2, len(e[5])) if e[6] else 0) == width]
         if not mine:
             continue
-        few = F.broadcast(spark.createDataFrame(mine, schema))
+        few = F.broadcast(_local(spark, mine, **kinds))
         found = postings
         if len(mine) <= 64:  # the scan skips the row groups that hold none of them
             found = found.where(reduce(lambda a, b: a | b, [F.col("term").startswith(e[5]) if width else F.col("term") == e[5] for e in mine]))
@@ -133,7 +139,7 @@ def ranked(hits: DataFrame, lengths: DataFrame, n_docs: int, mean: float, n_term
     """q, rank, key and score: documents in which all terms match, best first, then the smaller key."""
     spark = hits.sparkSession
     df = hits.groupBy("p").agg(F.count("*").alias("df"))  # a row for each phrase of the queries
-    wanted = spark.createDataFrame(list(n_terms.items()) or [("", 0)], "q string, terms int")
+    wanted = _local(spark, list(n_terms.items()), q=pa.string(), terms=pa.int32())
     scored = hits.join(F.broadcast(df), "p").join(lengths, key)
     scored = scored.withColumn("s", bm25(F.col("f"), F.lit(n_docs), F.col("df"), F.col("len"), F.lit(mean)))
     each = scored.groupBy("q", key).agg(F.round(F.sum("s"), 6).alias("score"), F.count_distinct("t").alias("n"))

@@ -97,8 +97,12 @@ def frequencies(docs: DataFrame, column: str) -> DataFrame:
 def adjacent(docs: DataFrame, terms: list[str], key: str = "doc", column: str = "body") -> DataFrame:
     """key, f: how often the terms stand side by side in a text, for documents that have no index."""
     split = docs.select(key, tokens_column(F.col(column)).alias("ts"))
-    same = lambda x, i: reduce(lambda a, b: a & b, [x == terms[0], *[F.get("ts", i + k) == t for k, t in enumerate(terms[1:], 1)]])
-    return split.select(key, F.size(F.filter("ts", same)).cast("long").alias("f")).where("f > 0")
+    equal = lambda t: lambda x: x == t
+    both = lambda t: lambda so_far, x: so_far & (x == t)
+    found = F.transform("ts", equal(terms[0]))  # whether the phrase so far stands at each place
+    for k, t in enumerate(terms[1:], 1):
+        found = F.zip_with(found, F.slice("ts", k + 1, F.size("ts")), both(t))
+    return split.where("size(ts) > 0").select(key, F.size(F.filter(found, lambda x: x)).cast("long").alias("f")).where("f > 0")
 
 
 def needles(query: str) -> list[str]:

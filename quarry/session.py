@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,3 +47,13 @@ def scratch(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{scratch(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(there)
+    fs.deleteOnExit(there)
+    return path
