@@ -14,7 +14,10 @@ similarity of their full sets reaches the threshold.
    near enough are compared on full sets as well. So every link between two texts that share a bucket either is verified
    or joins a component that already holds both ends: none is lost. A bucket is swept by size: partners lie in the same
    range of set sizes or the next. A range of over SWEPT classes is dealt out to parts, and each pair of parts is a
-   group of its own, so no task holds more than two parts, however hot a bucket is.
+   group of its own, so no task holds more than two parts, however hot a bucket is. A bitmap of each set bounds a
+   pair's similarity from above: a bit that one has and the other has not is a shingle that they don't share. Pairs
+   whose bound is below the threshold aren't compared; else a family of texts that nearly reach it, each at places of
+   its own, would bring a number of texts that is quadratic in its size.
 4. Components: alternating large-star and small-star steps until the edges no longer change.
 
 A class that is compared with many gets its comparisons split over tasks, with a copy of its text in each. Null doc_id:
@@ -39,6 +42,8 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 #: Comparisons of one class that a task takes before they are split.
 PER_TASK = 512
+#: Bits of a set's bitmap for each of its shingles, before rounding up to a power of two, and the most bytes of a bitmap.
+BITS, WIDEST = 8, 1 << 14
 #: Classes of one bucket and size range that a task of the rest pass compares with as many others.
 SWEPT = 2048
 _rng = np.random.default_rng(20240201)
@@ -97,6 +102,18 @@ def bands(sig: np.ndarray) -> np.ndarray:
         return _mixed((sig.reshape(BANDS, ROWS).astype(np.uint64) * _W).sum(axis=1) + _BAND).view(np.int64)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle, at the low bits of its hash; a larger bitmap, folded, is the smaller one of the same set."""
+    size = min(WIDEST, 1 << (max(8, len(s) * BITS // 8) - 1).bit_length())
+    bits = np.zeros(size * 8, np.uint8)
+    bits[(s & np.uint64(size * 8 - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(b: bytes, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), axis=0)
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, th, n_shingles, node (digest of the set, null if empty), keys of the bands and the sketch: 8 bits a minimum."""
 
@@ -180,8 +197,19 @@ def _least_agreement(percent: int) -> int:
     return int(HASHES * p - 6 * (HASHES * p * (1 - p)) ** 0.5)
 
 
+def bitmaps(nodes: DataFrame, node_texts: DataFrame, width: int) -> DataFrame:
+    """node and bits, its bitmap, for each of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, own in texts(batches):
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([bitmap(shingles(t, width)) for t in own], pa.binary())], names=["node", "bits"])
+
+    return node_texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(run, "node binary, bits binary")
+
+
 def sweep(members: DataFrame, percent: int, part: int = SWEPT) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components with near signatures. members: key, node, root, n, sketch."""
+    """Pairs (a, b) of one bucket in different components with near signatures whose bitmaps don't rule the pair out.
+    members: key, node, root, n, sketch, bits."""
     least = _least_agreement(percent)
     # A partner of a set in one range of sizes is in the same range or, smaller, in the one below ("low"); ranges are a
     # little wider than the threshold asks for, so rounding does no harm.
@@ -193,12 +221,14 @@ def sweep(members: DataFrame, percent: int, part: int = SWEPT) -> DataFrame:
     hot = hot.select("key", "range", F.ceil(F.col("m") / part).alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("salt"))
     few = laid.withColumn("salt", F.pmod(hashed, F.lit(32))).join(hot, ["key", "range", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     few = few.withColumn("i", F.pmod(hashed, F.col("parts"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    few = few.select("key", "range", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "low", "node", "root", "n", "sketch")
+    few = few.select("key", "range", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "low", "node", "root", "n", "sketch", "bits")
     few = few.repartition("key", "range", "x", "y").sortWithinPartitions("key", "range", "x", "y", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def near(rows: list[tuple]) -> pa.RecordBatch:
-            i_of, low, node, root, n, sketch = zip(*(r[4:] for r in rows))
+            i_of, low, node, root, n, sketch, bits = zip(*(r[4:] for r in rows))
+            size = min(map(len, bits))
+            bits = np.stack([folded(x, size) for x in bits])
             k = np.stack([np.frombuffer(x, np.uint8) for x in sketch])
             names = {r: i for i, r in enumerate(set(root))}
             root, n, low, i_of = np.array([names[r] for r in root]), np.array(n), np.array(low), np.array(i_of)
@@ -212,6 +242,10 @@ def sweep(members: DataFrame, percent: int, part: int = SWEPT) -> DataFrame:
                 at = np.flatnonzero(ok) + i + 1
                 if len(at):
                     at = at[(k[at] == k[i]).sum(axis=1) >= least]
+                if len(at):
+                    only_i, only_j = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1), np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1)
+                    most = np.minimum(n[i] - only_i.astype(np.int64), n[at] - only_j.astype(np.int64))
+                    at = at[100 * most >= percent * (n[i] + n[at] - most)]
                 for j in at:
                     a, b = sorted((node[i], node[j]))
                     a_out.append(a), b_out.append(b)
@@ -219,7 +253,7 @@ def sweep(members: DataFrame, percent: int, part: int = SWEPT) -> DataFrame:
 
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("key", "range", "x", "y", "i", "low", "node", "root", "n", "sketch"))):
+            for row in zip(*(batch[c].to_pylist() for c in ("key", "range", "x", "y", "i", "low", "node", "root", "n", "sketch", "bits"))):
                 if rows and row[:4] != rows[0][:4]:
                     yield near(rows)
                     rows = []
@@ -249,7 +283,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     roots = written(components(links), "roots")
     rooted = buckets.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = rooted.join(open_, "key", "left_semi").join(classes.select("node", "n", "sketch"), "node")
+    swept = written(rooted.join(open_, "key", "left_semi"), "swept")
+    members = swept.join(classes.select("node", "n", "sketch"), "node").join(bitmaps(swept, node_texts, width), "node")
     rest = written(sweep(members, percent).join(stars, ["a", "b"], "left_anti"), "rest")
     more = written(verified(rest, node_texts, width, percent), "links")
     if not more.isEmpty():

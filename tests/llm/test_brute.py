@@ -147,6 +147,38 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, part):
     assert [got[i] for i in range(len(rows))] == exact_components([t for _, t in rows], 5, 80)
 
 
+def test_a_family_below_the_threshold_is_not_compared_in_pairs(spark, monkeypatch):
+    """Texts at a similarity of about 0.72, each with four words of its own: all share buckets, a few are similar enough."""
+    rng, asked, verified = np.random.default_rng(7), [], minhash.verified
+
+    def watched(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "verified", watched)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for k in range(60):
+        w = list(base)
+        for place in rng.choice(48, 4 if k % 12 else 2, replace=False) * 4 + rng.integers(0, 4):
+            w[place] = f"own{k}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 80).collect()}
+    assert [got[i] for i in range(60)] == exact_components(texts, 4, 80)
+    assert len(asked) == 2 and asked[1] < 200, asked
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 70, 900, 1024, 1025, 40_000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        y = np.append(x[: n - n // 10], rng.integers(0, 1 << 63, n // 7, dtype=np.uint64))
+        a, b = minhash.bitmap(x), minhash.bitmap(y)
+        size = min(len(a), len(b))
+        a, b = minhash.folded(a, size), minhash.folded(b, size)
+        assert np.bitwise_count(a & ~b).sum() <= len(np.setdiff1d(x, y)) and np.bitwise_count(b & ~a).sum() <= len(np.setdiff1d(y, x))
+        assert size <= minhash.WIDEST and not (a & ~minhash.folded(minhash.bitmap(x), size)).any()
+
+
 def test_near_duplicate_stage_recall(spark, small):
     """The stage's own setting on what line dedup leaves: no component of the exact join is missed."""
     left = line_dedup.cleaned(small).select("doc_id", "text").orderBy("doc_id").collect()
