@@ -103,6 +103,25 @@ def test_search_skips_lists():
     assert shard.skipped > shard.read / 4
 
 
+@pytest.mark.parametrize("cells", [topk_search.CELLS, 50_000])
+def test_search_of_many_queries_reads_few_postings(monkeypatch, cells):
+    monkeypatch.setattr(topk_search, "CELLS", cells)
+    rng, docs = np.random.default_rng(5), []
+    for i in range(3000):
+        t = np.unique(np.append(rng.choice(60, 15), rng.integers(100, 5000, 8)))
+        docs.append((i, float(rng.integers(10, 60)), t, rng.integers(1, 4, len(t)).astype(np.uint32)))
+    df = Counter(int(x) for d in docs for x in d[2])
+    asked = np.array(sorted(df))
+    shard = topk_search.Shard(docs, 30.0, asked, np.array([math.log(1 + (3000 - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in asked]))
+    queries = [shard.numbers(d[2]) for d in docs[:80]] + [np.zeros(0, np.int64), shard.numbers(np.array([3])), shard.numbers(np.array([int(docs[0][2][-1])]))]
+    got = shard.search_many(queries, 5)
+    read, shard.read = shard.read, 0
+    for q, (ids, scores) in zip(queries, got):
+        alone = shard.search(q, 5) if len(q) else (np.zeros(0), np.zeros(0))
+        assert list(ids) == list(alone[0]) and np.allclose(scores, alone[1], atol=2e-6)
+    assert cells < 1 << 20 or read < shard.read / 4
+
+
 def exact_components(texts, width, percent):
     """Smallest index reachable, by comparing all pairs of full sets."""
     sets = []
