@@ -93,6 +93,25 @@ def test_suffix_sort():
             assert n == next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
 
 
+def test_only_what_may_repeat_is_sorted(monkeypatch):
+    rng = np.random.default_rng(5)
+    own = lambda n: rng.integers(0, 256, n, np.uint8).tobytes()
+    shared, sort, sizes = own(90), suffix_dedup.suffix_sort, []
+    monkeypatch.setattr(suffix_dedup, "suffix_sort", lambda text, *rest: (sizes.append(len(text)), sort(text, *rest))[1])
+    for length in (1, 5, 50):
+        for tail in (b"", own(40), shared[20:80], b"a" * 120):
+            parts = [own(300) + shared[k % 3 :] + tail[: 30 * k] + own(300) for k in range(9)] + [b"", shared[:30], tail]
+            strings = [p[i : i + length] if i + length <= len(p) else None for p in parts for i in range(len(p) + 1)] + [None]
+            count = Counter(strings)
+            expected = [s is not None and count[s] > 1 for s in strings]
+            assert suffix_dedup.repeated_starts(parts, length).tolist() == expected
+    sizes.clear()
+    parts = [own(2000) + bytes([k]) + shared + bytes([k]) + own(2000) for k in range(20)] + [own(500) + b"\xff" + shared[:70]]
+    assert suffix_dedup.repeated_starts(parts, 50).sum() == 20 * 41 + 21 and sum(sizes) < 400
+    monkeypatch.setattr(suffix_dedup, "_window_hashes", lambda b, length: np.zeros(len(b) - length + 1, np.uint64))  # all hashes alike
+    assert suffix_dedup.repeated_starts(parts, 50).sum() == 20 * 41 + 21
+
+
 def test_near_duplicates(spark, odd):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd, 4).collect()}
     assert got[4] == (13, 4, True) and got[1] == (0, 1, True) and got[None] == (13, None, True)
