@@ -11,6 +11,8 @@ inside a struct, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from quarry.llm.common import computed, words
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
 RUNS = r"[#*$%&|<>!?~^=_+]{2,}"
+MARKS = "|>»›•·/\\"
 SEPARATORS = r"(?:^|[\x20\x09-\x0D])[|>»›•·/\\](?=[\x20\x09-\x0D]|$)"
 ENDS = r"[.!?:;,…。！？।؟]"
 BOILERPLATE = (
@@ -41,9 +44,8 @@ def _without(text: Column, characters: str) -> Column:
 
 def base_metrics(text: Column) -> dict[str, Column]:
     """Counts over a whole text by name; text must not be null."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: _without(x, BLANK) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "word_chars": _without(text, BLANK),
         "n_symbols": F.length(text) - _without(text, SYMBOLS),
         "n_dup_lines": _size(lines) - _size(F.array_distinct(lines)),
     }
@@ -87,12 +89,15 @@ def windows(tokens: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks one of the three rules."""
-    n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    """Whether a line breaks one of the three rules. Each rule begins with what is cheap and rarely true: in a lambda an
+    expression is computed wherever it is mentioned and reached."""
+    n, chars = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")), F.length(line)
     marks, separators = F.regexp_count(line, F.lit(RUNS)), F.regexp_count(line, F.lit(SEPARATORS))
-    punctuation = ((marks >= 3) & (marks * 10 >= n * 3)) | ((n >= 60) & ~line.rlike(ENDS))
-    navigation = (separators >= 2) & (separators * 4 >= n)
-    boilerplate = (n <= 30) & line.rlike(BOILERPLATE)
+    unended = (chars >= 119) & ~line.rlike(ENDS) & (n >= 60)  # 60 words have 59 blanks between them
+    punctuation = ((marks >= 3) & (marks * 10 >= n * 3)) | unended
+    parted = reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in MARKS])
+    navigation = parted & (separators >= 2) & (separators * 4 >= n)
+    boilerplate = ((chars <= 60) | (n <= 30)) & line.rlike(BOILERPLATE)
     return punctuation | navigation | boilerplate
 
 
@@ -112,9 +117,11 @@ def assess(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_rep
         "clean_text",
         _size(F.col("w")).alias("n_words"),
         covered(F.col("starts")).alias("n_repeat_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         *[c.cast("long").alias(k) for k, c in base_metrics(F.col("t")).items()],
-        _without(F.col("clean_text"), BLANK).alias("left_chars"),
+        (F.length("clean_text") == F.length("t")).alias("whole"),
     )
+    step = step.withColumn("left_chars", F.when(F.col("whole"), F.col("word_chars")).otherwise(_without(F.col("clean_text"), BLANK))).drop("whole")
     step = step.withColumn(
         "base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     )

@@ -134,6 +134,22 @@ def test_rules_and_lines(odd):
     assert line_dedup.cleaned(odd).columns == odd.columns and line_dedup.digests(odd).count() == len(ROWS)
 
 
+def test_rules_read_a_line_no_more_than_they_must(spark):
+    words = lambda n, x="w": " ".join([x] * n)
+    cases = {
+        words(59): False, words(60): True, words(60, "ab"): True, words(59) + " w.": False, words(60, "\u2026"): False, "x" * 300: False,
+        words(27) + " lorem ipsum": True, words(29) + " Lorem Ipsum": False, words(28) + " Lorem Ipsum": True, words(28, "long") + " lorem ipsum": True,
+        words(29, "long") + " lorem ipsum": False, "lorem ipsum": True, "": False, "## ** $$ w": True, "## ** w": False, "a/b/c|d": False,
+        **{f"a {m} b {m} c": True for m in "|>»›•·/\\"}, "a · b": False, f"· · {words(7)}": False, f"· · {words(6)}": True,
+    }
+    rows = spark.createDataFrame([(k, line) for k, line in enumerate(cases)], "doc_id long, text string")
+    got = {r.text: r.bad for r in rows.select("text", F.element_at(F.transform(F.array("text"), quality_rules.line_fails), 1).alias("bad")).collect()}
+    assert got == cases
+    rule = str(quality_rules.line_fails(F.col("text")))  # what is cheap stands first
+    assert 0 <= rule.find("length(") < rule.find("rlike(") < rule.find(", 60)") and 0 <= rule.find("contains(") < rule.find("»›")
+    assert str(quality_rules.base_metrics(F.col("text"))).count("translate(") == 1
+
+
 def test_lines_after_a_shift(spark):
     own = [f"line {i} " + LINE for i in range(30)]
     docs = [(1, "\n".join(own)), (2, "\n".join(["an insertion", *own]))]
