@@ -63,6 +63,21 @@ def test_a_first_and_a_second_run(spark, place):
     assert index.build(table(spark, later), at(5)) == 0 and index.count() == 3  # nothing new, nothing fetched again
 
 
+def test_pages_that_share_a_url(spark, place):
+    """Each is a document, whichever run it came in; a URL fetched again gives its documents anew."""
+    index = SearchIndex(spark, place)
+    page = lambda u, body, day=1, status=200: (f"http://a.test/{u}", PAGE.format("T", body), status, at(day))
+    both = [page(1, "fox"), page(1, "owl"), page(1, "fox"), page(2, "bear"), page(2, "bear"), page(3, "elk"), ("http://a.test/3", "<meta name=robots content=noindex>", 200, at(1))]
+    bodies = lambda: sorted((r.url[-1], r.body) for r in index.docs().collect())
+    assert index.build(table(spark, [both[1], both[3], both[5]]), at(2)) == 3
+    assert index.build(table(spark, both), at(3)) == 3 and index.manifest()["next"] == 6
+    assert bodies() == [("1", "fox"), ("1", "fox"), ("1", "owl"), ("2", "bear"), ("2", "bear"), ("3", "elk")] and index.count() == 6
+    assert index.build(table(spark, both), at(4)) == 0 and index.manifest()["next"] == 6
+    later = [both[0], page(1, "hare", 5), page(1, "gone", 5, 404), *both[3:]]
+    index.build(table(spark, later), at(6))
+    assert bodies() == [("1", "fox"), ("1", "hare"), ("2", "bear"), ("2", "bear"), ("3", "elk")] and index.count() == 5
+
+
 def test_the_second_of_the_start_is_looked_at_again(spark, place):
     index = SearchIndex(spark, place)
     index.build(table(spark, FIRST[:1]), at(2, 7))
