@@ -1,10 +1,12 @@
 """What SQL can't say, against brute force; and rows that are awkward."""
 
 import math
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,18 @@ def test_search(spark, kind):
         assert all(abs(a - b) < 2e-6 for q in got for (_, a), (_, b) in zip(got[q], expected[q]))
 
 
+def test_a_shard_takes_its_rows_over():
+    """Nothing holds a group's rows once they are read, and places take four bytes."""
+    rows = [(i, 3, np.array([i, i + 1, i + 2], "<i8"), np.array([1, 1, 1], "<u4")) for i in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([3] * 10), pa.array([3] * 10), pa.array([r[2].tobytes() for r in rows]), pa.array([r[3].tobytes() for r in rows])], names=["doc_id", "n", "m", "terms", "tfs"])
+    groups = topk_search._shards(iter([batch]), 12)
+    first = [weakref.ref(r[2]) for r in next(groups)]
+    assert len(first) == 4 and not any(r() is not None for r in first)
+    assert [[r[0] for r in g] for g in groups] == [[4, 5, 6, 7], [8, 9]]
+    shard = topk_search.Shard(iter(rows), 3.0, np.arange(12), np.ones(12))
+    assert shard.place.itemsize == 4 and shard.search_many([np.array([5])], 2)[0][0].tolist() == [3, 4]
+
+
 def test_search_skips_lists():
     rng = np.random.default_rng(2)
     common_, docs = np.arange(40), []
