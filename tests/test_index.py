@@ -2,6 +2,7 @@
 
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 
 from quarry.operators import index as ix
@@ -78,6 +79,25 @@ def test_pages_that_share_a_url(spark, place):
     assert bodies() == [("1", "fox"), ("1", "hare"), ("2", "bear"), ("2", "bear"), ("3", "elk")] and index.count() == 5
 
 
+def test_postings_leave_in_small_batches(monkeypatch):
+    """A task holds few positions at once, however many documents its batch has."""
+    monkeypatch.setattr(ix, "HELD", 10)
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    texts = ["a b a", "", None, "b " * 12, "c a", "d e f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(["t"] * 6), pa.array(texts), pa.array([""] * 6), pa.array([None] * 6, pa.string())], names=["doc_seq", *ix.COLUMNS])
+    out = list(ix.postings_of(Docs())(iter([batch])))
+    got = sorted((r["doc_seq"], r["term"], r["positions"]) for b in out for r in b.to_pylist() if r["col"] == 1)
+    assert got == [(0, "a", [0, 2]), (0, "b", [1]), (3, "b", list(range(12))), (4, "a", [1]), (4, "c", [0]), (5, "d", [0]), (5, "e", [1]), (5, "f", [2])]
+    assert len(out) > 1 and sum(r["col"] == 0 for b in out for r in b.to_pylist()) == 6
+
+
 def test_the_second_of_the_start_is_looked_at_again(spark, place):
     index = SearchIndex(spark, place)
     index.build(table(spark, FIRST[:1]), at(2, 7))
